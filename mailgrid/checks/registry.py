@@ -91,9 +91,9 @@ SHARED_SQL["weekly_split_rows"] = """
 """
 SHARED_SQL["attempt_rows"] = """
     select key, sender, province, product, week_no, week, attempt, pieces from (
-        select *, 0 as attempt from weekly_split_rows
+        select *, cast(0 as bigint) as attempt from weekly_split_rows
         union all
-        select * replace (cast(floor(pieces / 20) as bigint) as pieces), 1 as attempt
+        select * replace (cast(floor(pieces / 20) as bigint) as pieces), cast(1 as bigint) as attempt
         from weekly_split_rows)
     where pieces > 0
 """
@@ -415,7 +415,7 @@ def peak_only_capacity(fx):
 
 
 @query(f"""
-    select {ASSIGNED}, '{UPDATED}' as updated_at, 1 as run_id from assigned
+    select {ASSIGNED}, '{UPDATED}' as updated_at, cast(1 as bigint) as run_id from assigned
 """)
 def run_postal_capacity(fx):
     return capacity.capacity_outputs(assigned(fx), 1, UPDATED)["table"]
@@ -570,7 +570,8 @@ def apply_overrides(fx):
 
 @query(f"""
     select courier, cast(from_ts as varchar) as from_ts, cast(null as varchar) as to_ts,
-           peak_capacity as capacity, 0 as sum_monthly, 0 as sum_weekly,
+           peak_capacity as capacity, cast(0 as bigint) as sum_monthly,
+           cast(0 as bigint) as sum_weekly,
            cast(null as varchar) as region, province, false as p890, false as p_ar,
            '{UPDATED}' as updated_at, false as is_default, cast(null as bigint) as run_id
     from (select *, cast(date_trunc('month', from_ts) as date) as m0 from declared)
@@ -693,8 +694,8 @@ def peak_table(fx):
 
 
 @query("""
-    select *, case band when 'No picchi' then 0 when '<50% picchi' then 1 else 2 end
-               as band_ordinal
+    select *, cast(case band when 'No picchi' then 0 when '<50% picchi' then 1 else 2 end
+                   as bigint) as band_ordinal
     from (select *, cast(peaks as double) / provinces as peak_share,
                  case when cast(peaks as double) / provinces < 0.0001 then 'No picchi'
                       when cast(peaks as double) / provinces < 0.5 then '<50% picchi'
