@@ -10,6 +10,18 @@ from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.plans import results
 
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
 UPDATED = "2002-01-01 00:00:00"
 LOAD_DAY = "2001-06-15 12:00:00"
 
@@ -44,7 +56,7 @@ class Fixtures:
         self.spark, self.folder = spark, folder
 
     def table(self, name, *cols):
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
         return df.select(*cols) if cols else df
 
     def _nations(self):

@@ -54,22 +54,23 @@ def future_mondays(col):
     return F.sequence(start, F.greatest(start, end), F.expr("interval 7 days"))
 
 
-def weeks_of_month(col):
-    """Array of the month's weeks: number, start inside the month, days in it, last-week flag."""
-    first, last = month_start(col), F.last_day(_date(col))
-    mondays = F.sequence(week_start(first), week_start(last), F.expr("interval 7 days"))
-
-    def describe(monday, position):
-        start = F.greatest(monday, first)
-        end = F.least(F.date_add(monday, 6), last)
-        return F.struct(
-            (position + 1).alias("week_no"),
-            start.alias("week_start"),
-            (F.datediff(end, start) + 1).alias("days"),
-            (monday == week_start(last)).alias("is_last"),
-        )
+def weeks_in_month(col):
+    """Number of weeks the month touches."""
+    span = F.datediff(week_start(F.last_day(_date(col))), week_start(month_start(col)))
+    return (span / 7 + 1).cast("int")
+
 
-    return F.transform(mondays, describe)
+def first_week_days(col):
+    """Days of the month's first week that lie in the month."""
+    return 7 - F.weekday(month_start(col))
+
+
+def week_in_month(col, number):
+    """Start inside the month and days in the month of the month's week ``number``, from 1."""
+    first, last = month_start(col), F.last_day(_date(col))
+    monday = F.date_add(week_start(first), (F.lit(number) - 1) * 7)
+    start = F.greatest(monday, first)
+    return start, F.datediff(F.least(F.date_add(monday, 6), last), start) + 1
 
 
 def days_in_month(col):

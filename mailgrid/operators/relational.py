@@ -199,20 +199,20 @@ def week_ordinal(results, keys, name="week_no"):
     return results.withColumn(name, F.row_number().over(series))
 
 
-def sum_after_week(results, keys, n=5, name="sum_after"):
-    """Sum of the weeks after the n-th present one, for the series that have such weeks.
+def sum_first_weeks(results, keys, n, name):
+    """Sum of the first n present weeks; only n rows per task and series are shuffled."""
+    head = first_by(results, keys, [F.col("week"), F.col("count_request")], n)
+    return head.groupBy(*keys).agg(F.sum("count_request").alias(name))
 
-    The total minus the first n weeks: totals combine before the shuffle and only n rows per
-    task and series are shuffled for the rest.
-    """
+
+def sum_after_week(results, keys, n=5, name="sum_after"):
+    """Sum of the weeks after the n-th present one, for the series that have such weeks: the
+    total, which combines before the shuffle, minus the first n weeks."""
     total = results.groupBy(*keys).agg(
         F.sum("count_request").alias("_total"), F.count(F.lit(1)).alias("_weeks")
     )
-    head = (
-        first_by(results, keys, [F.col("week"), F.col("count_request")], n)
-        .groupBy(*keys)
-        .agg(F.sum("count_request").alias("_head"))
-        .withColumnsRenamed({k: f"_{k}" for k in keys})
+    head = sum_first_weeks(results, keys, n, "_head").withColumnsRenamed(
+        {k: f"_{k}" for k in keys}
     )
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     late = total.filter(F.col("_weeks") > n).join(head, same)

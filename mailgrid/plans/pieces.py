@@ -44,45 +44,48 @@ def of_month(estimates, month):
 def month_weeks(months, col="month"):
     """Weeks of each month: number, start inside the month, days in it, days of the month."""
     weeks = months.select(
-        cal.month_start(col).alias("month"), F.explode(cal.weeks_of_month(col)).alias("w")
+        cal.month_start(col).alias("month"),
+        cal.weeks_in_month(col).alias("_weeks"),
+        F.explode(F.sequence(F.lit(1), cal.weeks_in_month(col))).alias("week_no"),
+    )
+    start, days = cal.week_in_month("month", F.col("week_no"))
+    return weeks.select(
+        "month",
+        "week_no",
+        start.alias("week_start"),
+        days.alias("days"),
+        (F.col("week_no") == F.col("_weeks")).alias("is_last"),
+        cal.days_in_month("month").alias("days_in_month"),
     )
-    return weeks.select("month", "w.*", cal.days_in_month("month").alias("days_in_month"))
 
 
 def split_weekly(estimates):
     """Splits each monthly estimate over the weeks of its month.
 
     A week gets its days' share, rounded half to even; the last week gets what is left, which
-    can be zero or negative for tiny estimates. Each row is split where it is: no shuffle.
+    can be zero or negative for tiny estimates. Between the first and the last week all have
+    seven days, so the rest follows from two shares: each row is split where it is.
     """
     daily = F.col("monthly") / cal.days_in_month("delivery_date")
-    shares = F.transform(
-        cal.weeks_of_month("delivery_date"),
-        lambda w: F.struct(
-            w["week_no"].alias("week_no"),
-            w["week_start"].alias("week"),
-            w["is_last"].alias("is_last"),
-            F.when(w["is_last"], F.lit(0).cast("bigint"))
-            .otherwise(fn.half_even(F.col("_daily") * w["days"]))
-            .alias("pieces"),
-        ),
-    )
-    rest = F.col("monthly") - F.aggregate(
-        "_shares", F.lit(0).cast("bigint"), lambda total, w: total + w["pieces"]
-    )
+    weeks, number = F.col("_weeks"), F.col("week_no")
+    rest = F.col("monthly") - F.col("_first") - (weeks - 2) * F.col("_full")
+    start, _ = cal.week_in_month("delivery_date", number)
     return (
-        estimates.withColumn("_daily", daily)
-        .withColumn("_shares", shares)
-        .withColumn("_rest", rest)
-        .select(*estimates.columns, "_rest", F.explode("_shares").alias("w"))
+        estimates.withColumn("_weeks", cal.weeks_in_month("delivery_date"))
+        .withColumn("_first", fn.half_even(daily * cal.first_week_days("delivery_date")))
+        .withColumn("_full", fn.half_even(daily * 7))
+        .withColumn("week_no", F.explode(F.sequence(F.lit(1), weeks)))
         .select(
             fn.compose_key("sender", "product", "province").alias("key"),
             "sender",
             "province",
             "product",
-            F.col("w.week_no").alias("week_no"),
-            F.col("w.week").alias("week"),
-            F.when(F.col("w.is_last"), F.col("_rest")).otherwise(F.col("w.pieces")).alias("pieces"),
+            "week_no",
+            start.alias("week"),
+            F.when(number == weeks, rest)
+            .when(number == 1, F.col("_first"))
+            .otherwise(F.col("_full"))
+            .alias("pieces"),
         )
     )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
-from mailgrid.operators.relational import any_flag, pick_one, sum_after_week
+from mailgrid.operators.relational import any_flag, pick_one, sum_first_weeks
 from mailgrid.plans.results import province_region
 
 
@@ -196,12 +196,28 @@ def sender_summary(results, residuals):
 
 
 def courier_summary(results, residuals):
-    """Volumes, volumes after the fifth week and residuals per run, province and courier."""
+    """Volumes, volumes after the fifth week and residuals per run, province and courier.
+
+    What comes after the fifth week is the total minus the first five weeks, for the series
+    that have more; the total is there already.
+    """
     keys = schemas.SERIES_KEYS
-    late = sum_after_week(results, [*keys, "label"], 5, "sum_after_5").drop("label")
+    head = sum_first_weeks(results, keys, 5, "_head")
     left = residuals.select(*keys, F.col("count_residual").alias("sum_residual"))
-    summary = weekly_summary(results, [*keys, "label"])
-    return summary.join(late, keys, "left").join(left, keys, "left")
+    late = F.when(F.col("_weeks") > 5, F.col("sum_request") - F.col("_head"))
+    return (
+        results.groupBy(*keys, "label")
+        .agg(
+            F.sum("count_request").alias("sum_request"),
+            F.avg("count_request").alias("avg_request"),
+            F.count(F.lit(1)).alias("_weeks"),
+        )
+        .join(head, keys, "left")
+        .join(left, keys, "left")
+        .select(
+            *keys, "label", "sum_request", "avg_request", late.alias("sum_after_5"), "sum_residual"
+        )
+    )
 
 
 # --- planning views ------------------------------------------------------------------------

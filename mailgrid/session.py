@@ -26,6 +26,8 @@ def local_session(app="mailgrid", cpus="8", memory="8g", **extra):
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Small shuffles that unfold into many rows keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
