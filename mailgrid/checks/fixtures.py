@@ -1,14 +1,19 @@
 """Domain tables derived from the whole test tables, see FIXTURES.md.
 
-``Fixtures`` builds each table on demand as a DataFrame; ``checks.fixture_sql`` states the
-same derivations in SQL.
+``Fixtures`` derives the domain's input tables; ``checks.fixture_sql`` states the same
+derivations in SQL. The engine works on stored tables, so each derived table is written once per
+session to the shared work folder and read from there by every query.
 """
 
+from functools import wraps
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.plans import results
+from mailgrid.session import work_folder
 
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -51,6 +56,25 @@ def courier_no():
     return F.substring("courier", 2, 9).cast("int")
 
 
+_STORED = {}
+
+
+def stored(build):
+    """Writes the table on first use in a session, then reads it."""
+
+    @wraps(build)
+    def read(self):
+        key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
+        if key not in _STORED:
+            table, path = build(self), work_folder(self.spark, build.__name__)
+            table.write.parquet(path)
+            _STORED[key] = path, table.schema
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    return read
+
+
 class Fixtures:
     def __init__(self, spark, folder):
         self.spark, self.folder = spark, folder
@@ -78,6 +102,7 @@ class Fixtures:
 
     # --- dimension -------------------------------------------------------------------------
 
+    @stored
     def geo(self):
         """Postal codes of five digits, so never more than 100,000 however large the input."""
         codes = (
@@ -90,10 +115,12 @@ class Fixtures:
                 F.sum(F.floor(F.abs("c_acctbal")) + 1).alias("pop"),
             )
         )
-        placed = codes.join(self._nations(), "n_nationkey")
-        totals = placed.groupBy("n_name").agg(F.sum("pop").alias("_all"))
+        province = Window.partitionBy("n_name")
+        placed = codes.join(self._nations(), "n_nationkey").withColumn(
+            "_all", F.sum("pop").over(province)
+        )
         nano = F.expr("(pop * 1000000000) div _all").cast("decimal(18,0)")
-        return placed.join(totals, "n_name").select(
+        return placed.select(
             "postal_code",
             F.col("r_name").alias("region"),
             F.concat(F.lit("Province of "), "n_name").alias("province_name"),
@@ -104,6 +131,7 @@ class Fixtures:
 
     # --- estimates -------------------------------------------------------------------------
 
+    @stored
     def estimates(self):
         urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
         orders = (
@@ -152,6 +180,7 @@ class Fixtures:
             cal.midnight(F.date_add(F.col("updated_at").cast("date"), shift)).alias("updated_at"),
         )
 
+    @stored
     def estimate_pages(self):
         """The estimates as landed pages, one per sender, province and month."""
         item = F.struct(
@@ -172,6 +201,7 @@ class Fixtures:
 
     # --- capacities ------------------------------------------------------------------------
 
+    @stored
     def declared(self):
         weekly = (
             self.table("lineitem", "l_suppkey", "l_shipdate", "l_quantity")
@@ -228,6 +258,7 @@ class Fixtures:
     def declared_twice(self):
         return self.declared().unionByName(self.declared_delta())
 
+    @stored
     def capacity_pages(self):
         """Landed pages per courier, province and week: each capacity as an open row and as a
         closed one of a different size."""
@@ -273,6 +304,7 @@ class Fixtures:
             F.lit(None).cast("string").alias("products"),
         )
 
+    @stored
     def postal_pages(self):
         """Landed pages with one postal capacity each."""
         item = F.struct(
@@ -289,6 +321,7 @@ class Fixtures:
             F.to_json(F.struct(F.array(item).alias("items"))).alias("body")
         )
 
+    @stored
     def run_capacity(self):
         """One row per courier, province and week. Courier 4 never has the default capacity,
         other even couriers have it in two weeks of three, courier 8 lacks some flags; courier 6
@@ -396,6 +429,7 @@ class Fixtures:
             .alias("run_type"),
         )
 
+    @stored
     def runs(self):
         """One run per quarter of the shipping weeks."""
         weeks = self._weeks()
@@ -408,6 +442,7 @@ class Fixtures:
         )
         return self._run_rows(days, F.col("run_id"), month)
 
+    @stored
     def run_log(self):
         """One run per shipping week, as in a log of weekly executions."""
         no = F.datediff("week", F.lit("1990-01-01").cast("date")) / 7
@@ -426,6 +461,7 @@ class Fixtures:
 
     # --- planner output --------------------------------------------------------------------
 
+    @stored
     def pieces(self):
         lines = self.table(
             "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_shipdate"
@@ -453,15 +489,19 @@ class Fixtures:
             )
         )
 
+    @stored
     def sender_results(self):
         return results.results_by_sender(self.pieces())
 
+    @stored
     def courier_results(self):
         return results.results_by_courier(self.pieces(), self.geo())
 
+    @stored
     def sender_residuals(self):
         return results.residuals_by_sender(self.pieces())
 
+    @stored
     def courier_residuals(self):
         return results.residuals_by_courier(self.pieces(), self.geo())
 
@@ -476,8 +516,15 @@ class Fixtures:
     def processed(self):
         return self._weeks().select(run_of("week").alias("run_id"), "week")
 
+    def store_all(self):
+        """Writes every stored table that is not there yet."""
+        for name, member in vars(Fixtures).items():
+            if hasattr(member, "__wrapped__"):
+                getattr(self, name)()
+
     # --- overrides -------------------------------------------------------------------------
 
+    @stored
     def override_documents(self):
         """Typed capacities of every run, one document per run, courier and province. Courier 3
         types weeks the run does not have yet; capacities change by the week."""

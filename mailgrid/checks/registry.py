@@ -1,7 +1,8 @@
 """Every registered query with the SQL that states its result.
 
 A query takes (spark, folder) and reads the whole test tables. Dates and timestamps leave as
-text and decimals as doubles, so that results compare by value with any SQL engine.
+text and decimals as doubles, so that results compare by value with any SQL engine; ``PLAIN``
+has the queries with the engine's own types.
 """
 
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from mailgrid.plans import capacity, compare, overrides, pieces, results, views
 from mailgrid.session import work_folder
 from mailgrid.sources import files, manifest, pages
 
-QUERIES, ORACLES, SHARED_SQL = {}, {}, {}
+QUERIES, PLAIN, ORACLES, SHARED_SQL = {}, {}, {}, {}
 
 
 def present(df):
@@ -39,6 +40,7 @@ def query(sql=None):
 
     def add(build):
         name = build.__name__
+        PLAIN[name] = lambda spark, folder: build(Fixtures(spark, folder))
         QUERIES[name] = lambda spark, folder: present(build(Fixtures(spark, folder)))
         if sql:
             ORACLES[name] = sql
@@ -436,7 +438,7 @@ def classify_flags(fx):
 
 @query("select run_id, sender, cast(week as varchar) as week, count_request from sender_results")
 def results_by_sender(fx):
-    return fx.sender_results()
+    return results.results_by_sender(fx.pieces())
 
 
 @query("""
@@ -444,17 +446,17 @@ def results_by_sender(fx):
     from courier_results
 """)
 def results_by_courier(fx):
-    return fx.courier_results()
+    return results.results_by_courier(fx.pieces(), fx.geo())
 
 
 @query("select run_id, sender, count_residual from sender_residuals")
 def residuals_by_sender(fx):
-    return fx.sender_residuals()
+    return results.residuals_by_sender(fx.pieces())
 
 
 @query("select run_id, province, region, courier, label, count_residual from courier_residuals")
 def residuals_by_courier(fx):
-    return fx.courier_residuals()
+    return results.residuals_by_courier(fx.pieces(), fx.geo())
 
 
 # --- used capacity, overrides, new runs ----------------------------------------------------

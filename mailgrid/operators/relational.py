@@ -59,8 +59,10 @@ def repeat_rows(df, n, chunk=10000, ordinal="ordinal"):
 
     An input row of at most ``chunk`` units unfolds where it is. A larger one is first cut
     into chunks, which are spread over the tasks, so no task unfolds a huge row alone and no
-    array grows past ``chunk`` entries.
+    array grows past ``chunk`` entries. The number of tasks is given, because AQE would merge
+    the chunks again: it sees their few bytes, not the rows they turn into.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = as_col(n)
     small = df.filter(n.between(1, chunk)).withColumn(
         ordinal, F.explode(F.sequence(F.lit(1).cast("bigint"), n.cast("bigint")))
@@ -69,7 +71,7 @@ def repeat_rows(df, n, chunk=10000, ordinal="ordinal"):
     large = (
         df.filter(n > chunk)
         .withColumn("_from", F.explode(start))
-        .repartition(*df.columns, "_from")
+        .repartition(tasks, *df.columns, "_from")
         .withColumn(
             ordinal,
             F.explode(F.sequence("_from", F.least(n.cast("bigint"), F.col("_from") + chunk - 1))),

@@ -169,8 +169,12 @@ def allocate_largest_remainder(weekly, geo, weight="share"):
     The result depends on the province and the number of pieces only, so it is worked out once
     per distinct pair and joined back: the rows themselves are never multiplied by the codes
     of the province, only by the codes that get pieces. Provinces without codes drop out.
+
+    The join multiplies rows, so it is kept a shuffled one: its output then spreads over all
+    shuffle partitions, and AQE splits the ones with frequent pairs.
     """
-    return weekly.join(allocation_table(weekly, geo, weight), ["province", "pieces"])
+    table = allocation_table(weekly, geo, weight).hint("merge")
+    return weekly.join(table, ["province", "pieces"])
 
 
 def generate_allocation(estimates, geo, weight="share"):
