@@ -158,6 +158,9 @@ FIXTURES = {
     "pieces": """
         select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as request_id,
                'S' || cast(o_custkey % 40 as varchar) as sender, province,
+               lpad(cast(o_custkey % 100000 as varchar), 5, '0') as postal_code,
+               case when o_orderpriority in ('1-URGENT', '2-HIGH') then '890' else 'AR' end
+                   as product,
                'K' || cast(l_suppkey % 10 as varchar) as courier,
                case when l_returnflag = 'R' then 'EVALUATE_SENDER_LIMIT'
                     else 'EVALUATE_PRINT_CAPACITY' end as step,

@@ -489,6 +489,25 @@ class Fixtures:
             )
         )
 
+    @stored
+    def piece_pages(self):
+        """The pieces as landed pages of one item, with the asked week and the run."""
+        item = F.struct(
+            F.col("request_id").alias("requestId"),
+            F.col("sender").alias("senderPaId"),
+            "province",
+            F.col("postal_code").alias("cap"),
+            F.when(F.col("workflow_step") == schemas.STEP_PLANNED, F.col("courier")).alias(
+                "unifiedDeliveryDriver"
+            ),
+            F.col("product").alias("productType"),
+            F.col("workflow_step").alias("workflowStep"),
+            "attempt",
+        )
+        return self.pieces().select(
+            "run_id", "week", F.to_json(F.struct(F.array(item).alias("items"))).alias("body")
+        )
+
     @stored
     def sender_results(self):
         return results.results_by_sender(self.pieces())

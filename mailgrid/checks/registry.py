@@ -459,6 +459,20 @@ def residuals_by_courier(fx):
     return results.residuals_by_courier(fx.pieces(), fx.geo())
 
 
+@query("""
+    select request_id, sender, province, postal_code,
+           case when step = 'EVALUATE_PRINT_CAPACITY' then courier else '' end as courier, product,
+           step as workflow_step, '0' as attempt, cast(week as varchar) as week, run_id
+    from pieces
+""")
+def read_pieces(fx):
+    """Landed planner pages; a piece without a courier gets an empty one."""
+    items = pages.flatten_items(
+        fx.piece_pages(), schemas.PIECE_ITEM, {"unifiedDeliveryDriver": ""}, keep=["run_id", "week"]
+    )
+    return results.read_pieces(items)
+
+
 # --- used capacity, overrides, new runs ----------------------------------------------------
 
 RUN_CAPACITY = """courier, cast(from_ts as varchar) as from_ts, cast(to_ts as varchar) as to_ts,
@@ -644,6 +658,25 @@ def modified_capacity_setting(fx):
     return views.modified_capacity_setting(fx.run_capacity(), fx.runs(), setting(fx))
 
 
+@query("""
+    select c.run_id, c.courier, c.province, cast(c.from_ts as varchar) as from_ts,
+           c.capacity as modified_capacity, c.p890, c.p_ar
+    from run_capacity c left join runs r using (run_id)
+    left join setting s on c.courier = s.courier
+         and cast(c.from_ts as date) = cast(s.from_ts as date) and c.province = s.province
+         and c.p890 = s.p890 and c.p_ar = s.p_ar and c.sum_monthly = s.sum_monthly
+         and month(cast(r.month || '-01' as date)) = s.month_delivery
+    where case when cast(c.to_ts as date) = cast(s.to_ts as date) then s.to_ts else c.to_ts end
+              is not null
+          and c.p890 is not null and c.p_ar is not null
+""")
+def editable_capacity(fx):
+    modified = views.modified_capacity_setting(fx.run_capacity(), fx.runs(), setting(fx))
+    return capacity.editable_capacity(modified).select(
+        "run_id", "courier", "province", "from_ts", "modified_capacity", "p890", "p_ar"
+    )
+
+
 SHARED_SQL["sheet_rows"] = """
     select *, case
         when month(m0) = month_delivery and day(day) <> 1 then strftime(m0, '%Y-%m')
@@ -774,6 +807,30 @@ def sender_view(fx):
     return views.sender_view(fx.estimates(), fx.geo())
 
 
+@query("""
+    select row_number() over (order by sum_monthly desc, region, sender, product, delivery_date)
+               as id, sender, region, product, cast(delivery_date as varchar) as delivery_date,
+           sum_monthly
+    from (select sender, region, product, delivery_date, cast(sum(monthly) as bigint)
+                 as sum_monthly
+          from estimates left join prov_reg using (province) group by 1, 2, 3, 4)
+    where sum_monthly > 0
+""")
+def sender_view_ids(fx):
+    """The view with consecutive ids in its display order."""
+    view = views.sender_view(fx.estimates(), fx.geo())
+    order = [F.desc("sum_monthly"), "region", "sender", "product", "delivery_date"]
+    return relational.with_row_id(view, order, -F.col("sum_monthly"))
+
+
+@query("""
+    select distinct courier, province, strftime(from_ts, '%Y-%m') as month, p890, p_ar
+    from declared
+""")
+def active_capacity(fx):
+    return views.active_capacity(fx.declared())
+
+
 @query("""
     select c.courier, r.region, e.product, c.month, cast(sum(e.monthly) as bigint) as sum_monthly
     from (select distinct courier, province, p_ar, p890, strftime(from_ts, '%Y-%m') as month
@@ -1017,6 +1074,13 @@ def courier_week_totals(fx):
     return compare.courier_week_totals(fx.courier_results())
 
 
+@query("""
+    select run_id, cast(min(week) as varchar) as first_week from courier_results group by 1
+""")
+def run_start(fx):
+    return compare.run_start(fx.courier_results())
+
+
 @query("""
     select run_id, label, max(week) > any_value(m1 + cast((8 - isodow(m1)) % 7 as int)) as overflows
     from courier_results join (

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from mailgrid import schemas
-from mailgrid.operators.relational import dedup_latest, new_keys, require_rows
+from mailgrid.operators.relational import dedup_latest, matched_keys, new_keys, require_rows
 
 
 def merge_upsert(target, source, keys, newer_by="updated_at"):
@@ -33,8 +33,7 @@ def merge_upsert(target, source, keys, newer_by="updated_at"):
             for c in target.columns
         ]
     )
-    matched = target.join(source.select(*keys), keys, "left_semi")
-    added = new_keys(source.select(*shared), matched, keys)
+    added = new_keys(source.select(*shared), matched_keys(target, source, keys), keys)
     return kept.unionByName(added, allowMissingColumns=True)
 
 

@@ -112,6 +112,16 @@ def new_keys(source, target, keys):
     return source.join(target.select(*keys).distinct(), keys, "left_anti")
 
 
+def matched_keys(target, source, keys):
+    """Keys of the target rows that have a partner in the source, once or more often.
+
+    The rebalance after the join leaves AQE free to split a hot key of the target; a distinct
+    right behind the join would tie each key to one task.
+    """
+    found = target.select(*keys).join(source.select(*keys), keys, "left_semi")
+    return found.hint("rebalance")
+
+
 def require_rows(df, message):
     """Fails when the frame is empty, else returns it."""
     if df.isEmpty():
@@ -196,9 +206,8 @@ def with_row_id(df, order, chunk, name="id"):
 
 
 def week_ordinal(results, keys, name="week_no"):
-    """Number of a result row's week inside its series (a series has one row per week)."""
-    series = Window.partitionBy(*keys).orderBy("week", "count_request")
-    return results.withColumn(name, F.row_number().over(series))
+    """Number of a result row's week inside its series."""
+    return rank_in_group(results, keys, [F.col("count_request")], F.col("week"), name)
 
 
 def sum_first_weeks(results, keys, n, name):

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.functions import columns as fn
-from mailgrid.operators.merge import drop_open_ended
-from mailgrid.operators.relational import conform, new_keys, pick_one, stamp
+from mailgrid.operators.relational import conform, matched_keys, new_keys, pick_one, stamp
 
 ROW_KEYS = ["run_id", "courier", "province", "from_ts"]
 TAIL_KEYS = ["run_id", "courier", "region", "province"]
@@ -121,12 +120,8 @@ def apply_overrides(run_capacity, overrides, capacity_type, updated_at):
             for c in old.columns
         ]
     )
-    matched = old.join(typed.select(*ROW_KEYS), ROW_KEYS, "left_semi")
-    added = new_keys(typed, matched, ROW_KEYS).withColumn("sum_weekly", F.lit(0))
+    added = new_keys(typed, matched_keys(old, typed, ROW_KEYS), ROW_KEYS)
+    added = added.withColumn("sum_weekly", F.lit(0))
     added = conform(stamp(added, updated_at=updated_at), schemas.RUN_CAPACITY)
     tails = append_tails(overrides, capacity_type, updated_at)
     return kept.unionByName(added).unionByName(tails)
-
-
-def clear_open_ended(run_capacity, run_id):
-    return drop_open_ended(run_capacity, run_id)

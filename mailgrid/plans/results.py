@@ -8,8 +8,10 @@ from mailgrid.operators.relational import distinct_by
 
 
 def read_pieces(items, run_id=None):
-    """Planned pieces from landed items, with the asked week in ``week``."""
-    df = items.select(
+    """Planned pieces from landed items, with the asked week in ``week`` and the run given or in
+    ``run_id``."""
+    run = F.col("run_id") if run_id is None else F.lit(run_id)
+    return items.select(
         F.col("requestId").alias("request_id"),
         F.col("senderPaId").alias("sender"),
         "province",
@@ -19,8 +21,8 @@ def read_pieces(items, run_id=None):
         F.col("workflowStep").alias("workflow_step"),
         "attempt",
         F.to_date("week").alias("week"),
+        run.alias("run_id"),
     )
-    return df if run_id is None else df.withColumn("run_id", F.lit(run_id))
 
 
 def planned(pieces):
