@@ -8,33 +8,44 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from mailgrid import schemas
-from mailgrid.operators.relational import dedup_latest, matched_keys, new_keys, require_rows
+from mailgrid.operators.relational import (
+    dedup_latest,
+    hot_join,
+    matched_keys,
+    new_keys,
+    require_rows,
+)
 
 
 def merge_upsert(target, source, keys, newer_by="updated_at"):
     """Updates target rows from a newer source row of the same key and inserts new keys.
 
-    Keys are compared with ``=``: a NULL key never matches and is inserted. Equal or NULL
-    timestamps keep the target row, and a key repeated in the target updates every copy. A
+    Keys are compared with ``=``: a row with a NULL key never matches and is inserted. Equal or
+    NULL timestamps keep the target row, and a key repeated in the target updates every copy. A
     source key that comes more than once counts with its newest row.
 
     The large side is the target. It only takes part in a left join with the source and in a
     semi join on its key columns, so with a small source it is never shuffled, and otherwise
     AQE can split its hot keys (a full outer join could not be split).
     """
-    source = dedup_latest(source, keys, [newer_by])
-    shared = [c for c in target.columns if c in source.columns]
-    fresh = source.select(*[F.col(c).alias(f"_{c}") for c in shared])
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+    source = source.select(*[c for c in target.columns if c in source.columns])
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    unmatchable = source.filter(~complete)
+    once = dedup_latest(source.filter(complete), keys, [newer_by])
+
+    values = [c for c in source.columns if c not in keys]
+    fresh = once.select(*keys, *[F.col(c).alias(f"_{c}") for c in values])
     newer = F.col(f"_{newer_by}") > F.col(newer_by)
-    kept = target.join(fresh, same, "left").select(
+    kept = hot_join(target, fresh, keys, "left").select(
         *[
-            F.when(newer, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c)
+            F.when(newer, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
             for c in target.columns
         ]
     )
-    added = new_keys(source.select(*shared), matched_keys(target, source, keys), keys)
-    return kept.unionByName(added, allowMissingColumns=True)
+    added = new_keys(once, matched_keys(target, once, keys), keys)
+    return kept.unionByName(added, allowMissingColumns=True).unionByName(
+        unmatchable, allowMissingColumns=True
+    )
 
 
 def merge_estimates(target, delta):
@@ -89,7 +100,7 @@ def delete_run(tables, run_id):
 
 def delete_runs(df, runs):
     """The table without the rows of the given runs."""
-    return df.join(runs.select("run_id").distinct(), "run_id", "left_anti")
+    return hot_join(df, runs.select("run_id").distinct(), ["run_id"], "left_anti")
 
 
 def effective_status(runs, now):

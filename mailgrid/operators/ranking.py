@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mailgrid.operators.relational import first_by
+from mailgrid.operators.relational import first_by, hot_join
 
 
 def _metric(metric, desc):
@@ -28,7 +28,7 @@ def top_members(summary, metric, n, desc=True, member="sender"):
 def top_series(results, summary, metric, n, desc=True, member="sender"):
     """Weekly series of the top members."""
     top = top_members(summary, metric, n, desc, member).select("run_id", member)
-    return results.join(top, ["run_id", member], "left_semi")
+    return hot_join(results, top, ["run_id", member], "left_semi")
 
 
 def first_members(df, n=5, member="sender"):

@@ -15,9 +15,18 @@ from pyspark.sql.types import StructType
 from mailgrid.functions.columns import as_col
 
 
-def null_safe(left, right, keys):
-    """Join condition in which NULL equals NULL, for keys that came out of a GROUP BY."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def hot_join(left, right, keys, how="inner"):
+    """Equi-join in which AQE can split the left rows of a frequent key.
+
+    AQE only splits a join whose inputs both come straight from a shuffle. A right side that is
+    grouped by the keys already would not be shuffled again, so the join also compares a hash of
+    the keys: that makes it shuffle both sides. Small right sides are broadcast all the same.
+    """
+    mark = F.xxhash64(*[F.col(k) for k in keys])
+    both = left.withColumn("_hash", mark).join(
+        right.withColumn("_hash", mark), [*keys, "_hash"], how
+    )
+    return both.drop("_hash")
 
 
 # --- projections ---------------------------------------------------------------------------
@@ -109,7 +118,7 @@ def distinct_values(df, *cols):
 
 def new_keys(source, target, keys):
     """Source rows whose key the target does not have; NULL keys are always new."""
-    return source.join(target.select(*keys).distinct(), keys, "left_anti")
+    return hot_join(source, target.select(*keys).distinct(), keys, "left_anti")
 
 
 def matched_keys(target, source, keys):
@@ -118,7 +127,7 @@ def matched_keys(target, source, keys):
     The rebalance after the join leaves AQE free to split a hot key of the target; a distinct
     right behind the join would tie each key to one task.
     """
-    found = target.select(*keys).join(source.select(*keys), keys, "left_semi")
+    found = hot_join(target.select(*keys), source.select(*keys), keys, "left_semi")
     return found.hint("rebalance")
 
 
@@ -140,7 +149,7 @@ def distinct_by(df, keys, member, name="count_request"):
 def max_over_group(df, keys, value, name):
     """Adds the group's maximum to each row; rows with a NULL key get NULL."""
     peak = df.groupBy(*keys).agg(F.max(value).alias(name))
-    return df.join(peak, keys, "left")
+    return hot_join(df, peak, keys, "left")
 
 
 def count_over_group(df, keys, name):

@@ -10,6 +10,7 @@ from mailgrid.operators.relational import (
     classify_flags,
     conform,
     count_over_group,
+    hot_join,
     max_over_group,
     stamp,
 )
@@ -30,7 +31,7 @@ def landed_cells(cells, weeks, couriers, provinces):
     Each dimension is checked on its own, so the grid itself is never built."""
     kept = cells
     for dim, key in ((weeks, "week"), (couriers, "courier"), (provinces, "province")):
-        kept = kept.join(dim.select(key).distinct(), key, "left_semi")
+        kept = hot_join(kept, dim.select(key).distinct(), [key], "left_semi")
     return kept
 
 
@@ -100,7 +101,9 @@ def with_province(postal_capacity, geo):
 def uncovered_capacity(postal_capacity, run_capacity, geo):
     """Postal capacities whose courier and province the run does not have."""
     pairs = run_capacity.select("courier", "province").distinct()
-    return with_province(postal_capacity, geo).join(pairs, ["courier", "province"], "left_anti")
+    return hot_join(
+        with_province(postal_capacity, geo), pairs, ["courier", "province"], "left_anti"
+    )
 
 
 def capacity_slots(run_capacity):
@@ -204,9 +207,9 @@ def used_capacity(cells, processed, runs, declared, geo, updated_at):
     """
     couriers = declared.select("courier").distinct()
     regions = geo.select("province", "region").distinct()
+    found = cells.join(used_weeks(processed, runs), ["run_id", "week"])
     rows = (
-        cells.join(used_weeks(processed, runs), ["run_id", "week"])
-        .join(couriers, "courier", "left_semi")
+        hot_join(found, couriers, ["courier"], "left_semi")
         .join(regions, "province")
         .select(
             "courier",

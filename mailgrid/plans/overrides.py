@@ -1,13 +1,18 @@
 """Capacities a user typed in: reading, open-ended tail rows, applying them to a run."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.functions import columns as fn
-from mailgrid.operators.relational import conform, matched_keys, new_keys, pick_one, stamp
+from mailgrid.operators.relational import (
+    conform,
+    hot_join,
+    matched_keys,
+    new_keys,
+    pick_one,
+    stamp,
+)
 
 ROW_KEYS = ["run_id", "courier", "province", "from_ts"]
 TAIL_KEYS = ["run_id", "courier", "region", "province"]
@@ -107,14 +112,13 @@ def apply_overrides(run_capacity, overrides, capacity_type, updated_at):
     )
     typed = pick_one(overrides, ROW_KEYS, [F.col("position").desc()])
     fresh = typed.select(
-        *[F.col(k).alias(f"_{k}") for k in ROW_KEYS],
+        *ROW_KEYS,
         F.col("capacity").alias("_capacity"),
         F.col("is_default").alias("_is_default"),
         F.lit(True).alias("_hit"),
     )
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in ROW_KEYS])
     taken = {"capacity": F.col("_capacity"), "is_default": F.col("_is_default")}
-    kept = old.join(fresh, same, "left").select(
+    kept = hot_join(old, fresh, ROW_KEYS, "left").select(
         *[
             F.when(F.col("_hit"), taken[c]).otherwise(F.col(c)).alias(c) if c in taken else F.col(c)
             for c in old.columns

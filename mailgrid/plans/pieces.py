@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.functions import columns as fn
-from mailgrid.operators.relational import repeat_rows
+from mailgrid.operators.relational import hot_join, repeat_rows
 from mailgrid.sources.files import piece_rows, write_by_week
 
 
@@ -174,7 +174,7 @@ def allocate_largest_remainder(weekly, geo, weight="share"):
     shuffle partitions, and AQE splits the ones with frequent pairs.
     """
     table = allocation_table(weekly, geo, weight).hint("merge")
-    return weekly.join(table, ["province", "pieces"])
+    return hot_join(weekly, table, ["province", "pieces"])
 
 
 def generate_allocation(estimates, geo, weight="share"):

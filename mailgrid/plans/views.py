@@ -66,6 +66,7 @@ def capacity_setting(declared, estimates, geo):
     is unfolded into its weeks, so the join is on (province, week) and compares no other pairs.
     """
     names = pick_one(geo.select("province", "region", "province_name"), ["province"])
+    weeks = _estimate_weeks(estimates).join(names, "province")
     capacity = declared.select(
         "courier", "from_ts", "to_ts", "capacity", "peak_capacity", "production_capacity",
         "province", "p890", "p_ar", cal.week_start("from_ts").alias("_week"),
@@ -78,14 +79,13 @@ def capacity_setting(declared, estimates, geo):
         return F.sum(F.coalesce(a + b, a, b))
 
     return (
-        capacity.join(_estimate_weeks(estimates), ["province", "_week"])
+        capacity.join(weeks, ["province", "_week"])
         .filter((use890 | use_ar) & (F.col("from_ts") <= cal.midnight("_last")))
         .groupBy(
             "courier", "province", "month_delivery", "from_ts", "to_ts", "capacity",
-            "peak_capacity", "production_capacity", "p890", "p_ar",
+            "peak_capacity", "production_capacity", "p890", "p_ar", "region", "province_name",
         )
         .agg(both("w890", "w_ar").alias("sum_weekly"), both("m890", "m_ar").alias("sum_monthly"))
-        .join(names, "province")
     )
 
 

@@ -21,14 +21,14 @@ def test_upsert_rules(spark, rows):
     )
     source = spark.createDataFrame(
         [("old", 11, day(2)), ("same", 12, day(2)), ("new", 13, day(2)), ("twice", 14, day(2)),
-         (None, 16, day(2)), ("added", 17, day(1)), ("dup", 18, day(1)), ("dup", 19, day(2)),
+         (None, 16, day(2)), (None, 15, day(1)), ("added", 17, day(1)), ("dup", 18, day(1)), ("dup", 19, day(2)),
          ("null_ts", 20, day(5))],
         SCHEMA,
     )
     out = merge.merge_upsert(target, source, ["k"])
     assert rows(out, "k", "v") == [
         ("added", 17), ("alone", 7), ("dup", 19), ("new", 3), ("null_ts", 8), ("old", 11),
-        ("same", 2), ("twice", 14), ("twice", 14), (None, 16), (None, 6)]
+        ("same", 2), ("twice", 14), ("twice", 14), (None, 15), (None, 16), (None, 6)]
 
 
 def test_upsert_is_idempotent_without_null_keys(spark, rows):
