@@ -1206,7 +1206,9 @@ def latest_snapshot(fx):
         "allocated",
         F.when(F.col("extract_date") == "1999-04-27", F.col("allocated")).otherwise(0),
     )
-    both.write.partitionBy("extract_date", "month").parquet(base)
+    both.hint("rebalance", "extract_date", "month").write.partitionBy(
+        "extract_date", "month"
+    ).parquet(base)
     found = files.read_latest_snapshot(fx.spark, base, "1999-05", "1999-05-03")
     return found.select("key", "week", "postal_code", "allocated")
 
