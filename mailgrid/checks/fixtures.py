@@ -535,12 +535,6 @@ class Fixtures:
     def processed(self):
         return self._weeks().select(run_of("week").alias("run_id"), "week")
 
-    def store_all(self):
-        """Writes every stored table that is not there yet."""
-        for name, member in vars(Fixtures).items():
-            if hasattr(member, "__wrapped__"):
-                getattr(self, name)()
-
     # --- overrides -------------------------------------------------------------------------
 
     @stored
