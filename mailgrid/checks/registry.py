@@ -221,6 +221,17 @@ def week_buckets(fx):
     return pieces.week_buckets(pieces.explode_pieces(allocation(fx)))
 
 
+@query("""
+    select key, cast(week as varchar) as week, attempt, pieces,
+           cast(unnest(generate_series(1, pieces)) as bigint) as ordinal
+    from attempt_rows
+""")
+def repeat_rows(fx):
+    """One row per piece of a province and week; counts above 5 are cut into chunks."""
+    weekly = attempts(fx).select("key", "week", "attempt", "pieces")
+    return relational.repeat_rows(weekly, "pieces", chunk=5)
+
+
 # --- calendar ------------------------------------------------------------------------------
 
 SHARED_SQL["ship_days"] = "select distinct cast(l_shipdate as date) as day from lineitem"
