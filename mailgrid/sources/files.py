@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
@@ -130,3 +131,33 @@ def read_latest_snapshot(
     if newest is None and required:
         raise FileNotFoundError(f"no extract of {month} in {base} since {oldest}")
     return window.filter(F.col("extract_date") == F.lit(newest))
+
+
+def extract_folder(base, day, month):
+    """Folder of a month's extract of one day: ``base/yyyy/MM/dd/yyyy-MM``."""
+    return os.path.join(base, f"{day:%Y/%m/%d}", month)
+
+
+def latest_extract_folder(
+    spark, base, month, as_of, lookback_days=schemas.LOOKBACK_DAYS, required=True
+):
+    """The newest such folder of the last ``lookback_days`` days that holds a CSV file, or None
+    if none is ``required``. Only paths are listed, no file is read."""
+    as_of = dt.date.fromisoformat(str(as_of))
+    oldest = as_of - dt.timedelta(days=lookback_days - 1)
+    listing = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+    )
+    day = F.regexp_extract("path", rf"/(\d{{4}}/\d{{2}}/\d{{2}})/{month}/", 1)
+    try:
+        found = listing.load(os.path.join(base, "*/*/*", month)).select(
+            F.to_date(F.nullif(day, F.lit("")), "yyyy/MM/dd").alias("day")
+        )
+        newest = found.filter(F.col("day").between(oldest, as_of)).agg(F.max("day")).first()[0]
+    except AnalysisException:  # no such folder at all
+        newest = None
+    if newest is None and required:
+        raise FileNotFoundError(f"no extract of {month} in {base} since {oldest}")
+    return newest and extract_folder(base, newest, month)

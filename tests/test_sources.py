@@ -113,6 +113,24 @@ def test_latest_snapshot(spark, tmp_path):
     assert "PartitionFilters: [" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_latest_extract_folder(spark, tmp_path):
+    base = str(tmp_path)
+
+    def latest(as_of, **kw):
+        return files.latest_extract_folder(spark, base, "2026-02", as_of, **kw)
+
+    assert latest("2026-01-25", required=False) is None
+    for day, month, name in [("2026/01/10", "2026-02", "a.csv"), ("2026/01/20", "2026-02", "b.csv"),
+                             ("2026/01/22", "2026-02", "note.txt"), ("2026/01/25", "2026-03", "c.csv")]:
+        folder = tmp_path / day / month / "cap_capacities"
+        folder.mkdir(parents=True)
+        (folder / name).write_text("x\n")
+    assert latest("2026-01-25") == f"{base}/2026/01/20/2026-02"
+    assert latest("2026-01-19") == f"{base}/2026/01/10/2026-02"
+    with pytest.raises(FileNotFoundError):
+        latest("2026-02-19")
+
+
 def test_flatten_items_by_name(spark, rows):
     docs = [{"items": [{"b": "x", "a": 1}, {"a": 2}], "lastEvaluatedKey": {"k": 1}}, {"items": []}, {}]
     df = spark.createDataFrame([(json.dumps(d), "w") for d in docs], "body string, week string")
