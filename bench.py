@@ -60,7 +60,7 @@ def main():
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+                "sf": float(os.path.basename(folder.rstrip("/")).removeprefix("sf")),
             }
         )
     )

@@ -138,16 +138,20 @@ def allocation_table(demand, geo, weight="share"):
     quota itself, so such codes win in order of weight. Hence with T pieces and weights that
     add up to the whole only the T heaviest codes can get anything; with weights that add up
     to more, only the first T * sum / whole. The join below is limited to those.
+
+    Whole multiples of the weight total are taken out first: products stay below the square of
+    the total and cannot overflow, however many pieces there are.
     """
     total = F.col("pieces")
-    reach = F.greatest(total, F.ceil(total * F.col("filled") / F.col("whole")))
+    reach = F.greatest(total, F.ceil(total * (F.col("filled").cast("double") / F.col("whole"))))
     candidates = (
         demand.select("province", "pieces")
         .distinct()
         .join(weigh(geo, weight), "province")
         .filter(F.col("place") <= reach)
-        .withColumn("base", F.expr("(pieces * w) div whole"))
-        .withColumn("rest", F.expr("(pieces * w) % whole"))
+        .withColumn("_part", F.expr("(pieces % whole) * w"))
+        .withColumn("base", F.expr("(pieces div whole) * w + _part div whole"))
+        .withColumn("rest", F.expr("_part % whole"))
     )
     group = Window.partitionBy("province", "pieces")
     by_rest = group.orderBy(F.col("rest").desc(), F.col("postal_code"))

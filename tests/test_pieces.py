@@ -90,7 +90,7 @@ def test_allocation_by_share(spark, scale):
     else:
         raw = [rng.randrange(1, 1000) for _ in codes]
         shares = {c: (Decimal(r) / sum(raw) * Decimal(scale)).quantize(Decimal("1e-9")) for c, r in zip(codes, raw)}
-    totals = [*range(1, 60), 500, 12345, 10**7]
+    totals = [*range(1, 60), 500, 12345, 10**7, 5 * 10**10 + 3]
     out = pieces.allocate_largest_remainder(totals_frame(spark, totals), geo_rows(spark, shares))
     found = {}
     for r in out.collect():
@@ -98,15 +98,15 @@ def test_allocation_by_share(spark, scale):
     weights = {c: int(s * 10**9) for c, s in shares.items()}
     for total in totals:
         assert found[total] == allocate_in_python(total, weights, 10**9)
-        if scale in ("1", "tied", "tiny"):
-            assert sum(found[total].values()) == total or abs(sum(found[total].values()) - total) < 2
+        if sum(weights.values()) == 10**9:  # rounded shares may miss 1, then totals may differ
+            assert sum(found[total].values()) == total
 
 
 def test_allocation_by_population_is_exact(spark):
     rng = random.Random(3)
     pops = {f"{i:05d}": rng.randrange(1, 10**6) for i in range(57)}
     geo = geo_rows(spark, {c: Decimal(0) for c in pops}, pops=pops)
-    totals = [1, 2, 7, 56, 57, 58, 1000, 999983]
+    totals = [1, 2, 7, 56, 57, 58, 1000, 999983, 10**12 + 7]
     out = pieces.allocate_largest_remainder(totals_frame(spark, totals), geo, "pop")
     found = {}
     for r in out.collect():
