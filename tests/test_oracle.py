@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from mailgrid.checks import registry
 from mailgrid.checks.fixtures import TABLES
 
 
@@ -16,15 +16,15 @@ def database(testdata):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, testdata, database, name):
-    df = contract.queries()[name](spark, testdata)
+    df = registry.QUERIES[name](spark, testdata)
     columns = sorted(df.columns)
     found = [tuple(r) for r in df.select(*columns).collect()]
-    sql = contract.oracle_sql()[name]
+    sql = registry.oracle_sql()[name]
     wanted = database.execute(
         f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({sql})"
     ).fetchall()
