@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailgrid.session import work_folder
@@ -58,3 +59,43 @@ def text_pieces(column, limit=1 << 21):
         end = min(max(end, at + 1), n)
         yield at, whole[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]
         at = end
+
+
+def remove_folder(spark, path):
+    """Deletes a folder on whatever storage it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def smallest_by_hash(keyed, key, most, groups=()):
+    """At most ``most`` keys (for each group), the first by a hash of the key: a sample whose
+    size is bounded and which does not depend on how the rows are stored."""
+    order = F.xxhash64(F.col(key).cast("string")), F.col(key)
+    if not groups:
+        return keyed.orderBy(*order).limit(most)
+    ranked = Window.partitionBy(*groups).orderBy(*order)
+    return (
+        keyed.withColumn("_rank", F.row_number().over(ranked))
+        .filter(F.col("_rank") <= most)
+        .drop("_rank")
+    )
+
+
+def labelled_sample(docs, labels, label, key, text, learn, most):
+    """(text, label) of a bounded sample: at most ``most[value]`` documents of each label 0 and
+    1 that ``learn``, a condition on the key, admits. Contradicting labels of a key count by
+    their mean; NULL keys and labels are left out."""
+    known = (
+        labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learn)
+        .groupBy(key)
+        .agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
+    )
+    picked = smallest_by_hash(known, key, max(most), ["_label"])
+    picked = smallest_by_hash(picked.filter("_label = 0"), key, most[0]).unionByName(
+        smallest_by_hash(picked.filter("_label = 1"), key, most[1])
+    )
+    # At most sum(most) rows, so a broadcast has a fixed bound.
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), F.col("_key") == F.col(key)).select(
+        F.col("_key").alias("key"), "text", F.col("_label").alias("label")
+    )

@@ -2,7 +2,16 @@
 
 import public_tokenizers
 
-from mailgrid.llm import exact_dedup, sentencepiece_codec, token_counts, url_filter
+from mailgrid.llm import (
+    exact_dedup,
+    language_id,
+    quality,
+    sentencepiece_codec,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc,
+)
 from mailgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +97,37 @@ def op7_exact_dedup(spark, folder):
 def op9_sentencepiece(spark, folder):
     path = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_codec.encode_texts(table(spark, folder, "documents"), path)
+
+
+@query()
+def op1_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.predict_toxicity(docs, labels)
+
+
+@query("""
+    with sized as (
+        select page_id, strlen(coalesce(html, '')) as payload_bytes,
+               sha1(coalesce(html, '')) as payload_digest
+        from pages),
+    tops as (
+        select payload_digest, max(page_id) as top from sized
+        where payload_bytes >= 1000 group by payload_digest)
+    select page_id, payload_bytes, payload_digest,
+           case when top <> page_id then 'revisit' else 'response' end as record_type,
+           case when top <> page_id then top end as refers_to, 'ok' as status
+    from sized left join tops using (payload_digest)
+""")
+def op2_warc(spark, folder):
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query()
+def op5_language_id(spark, folder):
+    return language_id.predict_languages(table(spark, folder, "documents"))
+
+
+@query()
+def op10_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.predict_quality(docs, labels)
