@@ -15,6 +15,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lower_latin(data):
+    """The bytes in lower case: ASCII, and the Latin-1 capitals 0xC3 0x80 to 0xC3 0x9E."""
+    low = LOWER[data]
+    wide = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] <= 0x9E) & (low[1:] >= 0x80)) + 1
+    low[wide] += 32
+    return low
+
+
 def mix(h):
     """Finalizer of a 64-bit hash; every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))

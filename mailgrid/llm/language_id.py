@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailgrid.llm.common import key_remainder, smallest_by_hash, text_pieces
+from mailgrid.llm.grams import lower_latin
 
 # Slots of the filter, a power of two, and the multipliers that pick them.
 BITS = 20
@@ -18,7 +19,7 @@ HASHES = (0x9E3779B1, 0x85EBCA77)
 UNKNOWN = "und"
 
 FOLD = np.full(256, 32, np.uint8)
-FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
+FOLD[97:123] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 
 
@@ -30,10 +31,7 @@ def gram_codes(data, bounds):
     """
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    low = FOLD[data]
-    # Capital letters of the Latin-1 range are 0xC3 0x80 to 0xC3 0x9E.
-    wide = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] <= 0x9E) & (low[1:] >= 0x80)) + 1
-    low[wide] += 32
+    low = FOLD[lower_latin(data)]
     padded = np.full(len(low) + 2 * len(sizes), 32, np.uint8)
     padded[np.arange(len(low)) + 2 * owner + 1] = low
     owner = np.repeat(np.arange(len(sizes)), sizes + 2)

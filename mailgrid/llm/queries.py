@@ -3,7 +3,9 @@
 import public_tokenizers
 
 from mailgrid.llm import (
+    decontaminate,
     exact_dedup,
+    jaccard_join,
     language_id,
     quality,
     sentencepiece_codec,
@@ -131,3 +133,14 @@ def op5_language_id(spark, folder):
 def op10_quality(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.predict_quality(docs, labels)
+
+
+@query()
+def op6_decontamination(spark, folder):
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated_pairs(docs, items)
+
+
+@query()
+def op8_jaccard_join(spark, folder):
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"), 3, 90)

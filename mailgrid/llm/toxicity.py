@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailgrid.llm.common import key_remainder, labelled_sample, text_pieces
-from mailgrid.llm.grams import LOWER, WORD_BYTE, mix, span_hashes, word_spans
+from mailgrid.llm.grams import WORD_BYTE, lower_latin, mix, span_hashes, word_spans
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION, INPUTS = 8, 8, 7
@@ -25,10 +25,7 @@ BLOCK = 4096
 
 def buckets(data, bounds):
     """Word buckets, character n-gram buckets, and the word and text each belongs to."""
-    low = LOWER[data]
-    # Capital letters of the Latin-1 range are 0xC3 0x80 to 0xC3 0x9E.
-    wide = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] <= 0x9E) & (low[1:] >= 0x80)) + 1
-    low[wide] += 32
+    low = lower_latin(data)
     begin, end, text = word_spans(low, bounds, WORD_BYTE)
     if not len(begin):
         none = np.zeros(0, np.int64)
