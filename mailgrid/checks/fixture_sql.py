@@ -10,10 +10,10 @@ FIXTURES = {
         select c_custkey, n_name as province from customer join nation on c_nationkey = n_nationkey
     """,
     "geo_codes": """
-        select lpad(cast(c_custkey % 100000 as varchar), 5, '0') as postal_code,
-               min(c_nationkey) as n_nationkey,
-               cast(sum(cast(floor(abs(c_acctbal)) as bigint) + 1) as bigint) as pop
-        from customer group by 1
+        select lpad(cast(c_custkey as varchar), 12, '0') as postal_code,
+               c_nationkey as n_nationkey,
+               cast(floor(abs(c_acctbal)) as bigint) + 1 as pop
+        from customer
     """,
     "geo": """
         select postal_code, r_name as region, 'Province of ' || n_name as province_name,
@@ -32,7 +32,11 @@ FIXTURES = {
                    case when o_orderpriority in ('1-URGENT', '2-HIGH') then '890' else 'AR' end
                        as product,
                    cast(date_trunc('month', o_orderdate) as date) as delivery_date,
-                   cast(count(*) * 17 as bigint) as monthly
+                   cast(sum(case
+                       when o_custkey % 40 = 7 and o_orderpriority in ('1-URGENT', '2-HIGH')
+                            and date_trunc('month', o_orderdate) = date '1995-03-01' then 150000
+                       when o_custkey % 20 = 0 then 700 when o_custkey % 4 = 2 then 1
+                       else 17 end) as bigint) as monthly
             from orders join customer_nation on o_custkey = c_custkey
             group by 1, 2, 3, 4
         )
@@ -75,7 +79,7 @@ FIXTURES = {
     """,
     "postal_capacity": """
         select 'K' || cast(c_custkey % 10 as varchar) as courier,
-               lpad(cast(c_custkey % 100000 as varchar), 5, '0') as postal_code,
+               lpad(cast(c_custkey as varchar), 12, '0') as postal_code,
                c_custkey % 50 + 1 as capacity, (c_custkey % 50 + 1) * 2 as peak_capacity,
                timestamp '2001-01-01 00:00:00' as from_ts, cast(null as timestamp) as to_ts
         from customer
@@ -158,7 +162,7 @@ FIXTURES = {
     "pieces": """
         select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as request_id,
                'S' || cast(o_custkey % 40 as varchar) as sender, province,
-               lpad(cast(o_custkey % 100000 as varchar), 5, '0') as postal_code,
+               lpad(cast(o_custkey as varchar), 12, '0') as postal_code,
                case when o_orderpriority in ('1-URGENT', '2-HIGH') then '890' else 'AR' end
                    as product,
                'K' || cast(l_suppkey % 10 as varchar) as courier,

@@ -39,6 +39,24 @@ def sender(col):
     return F.concat(F.lit("S"), (F.col(col) % 40).cast("string"))
 
 
+def postal_code(col):
+    return F.lpad(F.col(col).cast("string"), 12, "0")
+
+
+def pieces_per_order(product, month):
+    """Volumes of very different sizes: single pieces for a quarter of the senders, thousands
+    for some, and one month of one sender that reaches into the hundred thousands."""
+    number = F.col("o_custkey") % 40
+    huge = (number == 7) & (product == "890") & (month == F.lit("1995-03-01").cast("date"))
+    return (
+        F.when(huge, 150000)
+        .when(number % 20 == 0, 700)
+        .when(number % 4 == 2, 1)
+        .otherwise(17)
+        .cast("bigint")
+    )
+
+
 def ntz(text):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -104,16 +122,11 @@ class Fixtures:
 
     @stored
     def geo(self):
-        """Postal codes of five digits, so never more than 100,000 however large the input."""
-        codes = (
-            self.table("customer", "c_custkey", "c_nationkey", "c_acctbal")
-            .groupBy(
-                F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("postal_code")
-            )
-            .agg(
-                F.min("c_nationkey").alias("n_nationkey"),
-                F.sum(F.floor(F.abs("c_acctbal")) + 1).alias("pop"),
-            )
+        """One postal code per customer."""
+        codes = self.table("customer", "c_custkey", "c_nationkey", "c_acctbal").select(
+            postal_code("c_custkey").alias("postal_code"),
+            F.col("c_nationkey").alias("n_nationkey"),
+            (F.floor(F.abs("c_acctbal")) + 1).alias("pop"),
         )
         province = Window.partitionBy("n_name")
         placed = codes.join(self._nations(), "n_nationkey").withColumn(
@@ -142,11 +155,12 @@ class Fixtures:
                 cal.month_start("o_orderdate").alias("delivery_date"),
             )
             .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("n", F.col("n") * pieces_per_order(F.col("product"), F.col("delivery_date")))
         )
         grouped = (
             orders.join(self._customer_nation(), F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(sender("o_custkey").alias("sender"), "province", "product", "delivery_date")
-            .agg((F.sum("n") * 17).alias("monthly"))
+            .agg(F.sum("n").alias("monthly"))
         )
         return grouped.select(
             F.concat_ws("~", "sender", "product", "province").alias("pk"),
@@ -185,7 +199,6 @@ class Fixtures:
         """The estimates as landed pages, one per sender, province and month."""
         item = F.struct(
             F.date_format("delivery_date", "yyyy-MM-dd").alias("deliveryDate"),
-            F.lit("file").alias("fileKey"),
             (F.col("monthly") + 0.5).alias("monthlyEstimate"),
             F.col("original").alias("originalEstimate"),
             F.col("sender").alias("paId"),
@@ -296,7 +309,7 @@ class Fixtures:
     def postal_capacity(self):
         return self.table("customer", "c_custkey").select(
             courier("c_custkey").alias("courier"),
-            F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("postal_code"),
+            postal_code("c_custkey").alias("postal_code"),
             (F.col("c_custkey") % 50 + 1).cast("int").alias("capacity"),
             ((F.col("c_custkey") % 50 + 1) * 2).cast("int").alias("peak_capacity"),
             ntz("2001-01-01 00:00:00").alias("from_ts"),
@@ -475,7 +488,7 @@ class Fixtures:
                 F.concat_ws("-", "l_orderkey", "l_linenumber").alias("request_id"),
                 sender("o_custkey").alias("sender"),
                 "province",
-                F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0").alias("postal_code"),
+                postal_code("o_custkey").alias("postal_code"),
                 courier("l_suppkey").alias("courier"),
                 F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "890")
                 .otherwise("AR")

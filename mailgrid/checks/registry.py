@@ -15,7 +15,7 @@ from mailgrid.functions import columns as fn
 from mailgrid.operators import merge, ranking, relational
 from mailgrid.plans import capacity, compare, overrides, pieces, results, views
 from mailgrid.session import work_folder
-from mailgrid.sources import files, manifest, pages
+from mailgrid.sources import files, manifest, pages, tables
 
 QUERIES, PLAIN, ORACLES, SHARED_SQL = {}, {}, {}, {}
 
@@ -363,44 +363,48 @@ def landed_cells(fx):
 # --- base or peak --------------------------------------------------------------------------
 
 SHARED_SQL["pair_flags"] = """
-    select courier, province, count(*) as n,
+    select run_id, courier, province, count(*) as n,
            count(*) filter (where is_default) as n_true,
            count(*) filter (where not is_default) as n_false
-    from run_capacity group by 1, 2
+    from run_capacity group by 1, 2, 3
 """
 SHARED_SQL["postal_province"] = """
-    select p.*, g.province from postal_capacity p left join geo g using (postal_code)
+    select run_id, p.*, g.province
+    from postal_capacity p left join geo g using (postal_code) cross join runs
 """
 SHARED_SQL["assigned"] = """
-    select p.courier, postal_code, p.capacity, p.capacity as peak_capacity, p.from_ts, p.to_ts,
-           province, true as is_default
-    from postal_province p join pair_flags f using (courier, province) where n = n_true
+    select run_id, p.courier, postal_code, p.capacity, p.capacity as peak_capacity, p.from_ts,
+           p.to_ts, province, true as is_default
+    from postal_province p join pair_flags f using (run_id, courier, province) where n = n_true
     union all
-    select p.courier, postal_code, p.peak_capacity, p.peak_capacity, p.from_ts, p.to_ts,
+    select run_id, p.courier, postal_code, p.peak_capacity, p.peak_capacity, p.from_ts, p.to_ts,
            province, false
-    from postal_province p join pair_flags f using (courier, province) where n = n_false
+    from postal_province p join pair_flags f using (run_id, courier, province) where n = n_false
     union all
-    select p.courier, postal_code,
+    select run_id, p.courier, postal_code,
            case when r.is_default then p.capacity when not r.is_default then p.peak_capacity
                 else 0 end,
            case when r.is_default then p.capacity when not r.is_default then p.peak_capacity
                 else 0 end,
            r.from_ts, r.to_ts, province, r.is_default
-    from postal_province p join pair_flags f using (courier, province)
-         join run_capacity r using (courier, province)
+    from postal_province p join pair_flags f using (run_id, courier, province)
+         join run_capacity r using (run_id, courier, province)
     where n <> n_false and n <> n_true
     union all
-    select p.courier, postal_code, p.capacity, p.peak_capacity, p.from_ts, p.to_ts, p.province, true
+    select run_id, p.courier, postal_code, p.capacity, p.peak_capacity, p.from_ts, p.to_ts,
+           p.province, true
     from postal_province p
-    where not exists (select 1 from pair_flags f
-                      where f.courier = p.courier and f.province = p.province)
+    where not exists (select 1 from pair_flags f where f.run_id = p.run_id
+                      and f.courier = p.courier and f.province = p.province)
 """
-ASSIGNED = """courier, postal_code, capacity, peak_capacity, cast(from_ts as varchar) as from_ts,
+ASSIGNED = """run_id, courier, postal_code, capacity, peak_capacity, cast(from_ts as varchar) as from_ts,
     cast(to_ts as varchar) as to_ts"""
 
 
 def assigned(fx):
-    return capacity.assign_capacity(fx.postal_capacity(), fx.run_capacity(), fx.geo())
+    return capacity.assign_capacity(
+        fx.postal_capacity(), fx.run_capacity(), fx.geo(), fx.runs()
+    )
 
 
 @query(f"select {ASSIGNED}, province, is_default from assigned")
@@ -409,14 +413,17 @@ def assign_capacity(fx):
 
 
 @query("""
-    select courier, postal_code, capacity, peak_capacity, cast(from_ts as varchar) as from_ts,
-           cast(to_ts as varchar) as to_ts, cast(null as varchar) as products, province
+    select run_id, courier, postal_code, capacity, peak_capacity,
+           cast(from_ts as varchar) as from_ts, cast(to_ts as varchar) as to_ts,
+           cast(null as varchar) as products, province
     from postal_province p
-    where not exists (select 1 from run_capacity f
-                      where f.courier = p.courier and f.province = p.province)
+    where not exists (select 1 from run_capacity f where f.run_id = p.run_id
+                      and f.courier = p.courier and f.province = p.province)
 """)
 def uncovered_capacity(fx):
-    return capacity.uncovered_capacity(fx.postal_capacity(), fx.run_capacity(), fx.geo())
+    return capacity.uncovered_capacity(
+        fx.postal_capacity(), fx.run_capacity(), fx.geo(), fx.runs()
+    )
 
 
 @query(f"""
@@ -424,24 +431,29 @@ def uncovered_capacity(fx):
     where not is_default
 """)
 def peak_only_capacity(fx):
-    return capacity.capacity_outputs(assigned(fx), 1, UPDATED)["modified"]
+    return capacity.capacity_outputs(assigned(fx), UPDATED)["modified"]
+
+
+@query(f"select {ASSIGNED}, province, cast(null as varchar) as products, is_default from assigned")
+def all_run_capacity(fx):
+    return capacity.capacity_outputs(assigned(fx), UPDATED)["all"]
 
 
 @query(f"""
-    select {ASSIGNED}, '{UPDATED}' as updated_at, cast(1 as bigint) as run_id from assigned
+    select {ASSIGNED}, '{UPDATED}' as updated_at from assigned
 """)
 def run_postal_capacity(fx):
-    return capacity.capacity_outputs(assigned(fx), 1, UPDATED)["table"]
+    return capacity.capacity_outputs(assigned(fx), UPDATED)["table"]
 
 
 @query("""
-    select courier, province,
+    select run_id, courier, province,
            case when n = n_true then 'all' when n = n_false then 'none' else 'mixed' end
                as flag_class
     from pair_flags
 """)
 def classify_flags(fx):
-    return relational.classify_flags(fx.run_capacity(), ["courier", "province"])
+    return relational.classify_flags(fx.run_capacity(), ["run_id", "courier", "province"])
 
 
 # --- results -------------------------------------------------------------------------------
@@ -595,19 +607,93 @@ def apply_overrides(fx):
     return overrides.apply_overrides(fx.run_capacity(), typed, "capacity_type", UPDATED)
 
 
-@query(f"""
-    select courier, cast(from_ts as varchar) as from_ts, cast(null as varchar) as to_ts,
-           peak_capacity as capacity, cast(0 as bigint) as sum_monthly,
-           cast(0 as bigint) as sum_weekly,
-           cast(null as varchar) as region, province, false as p890, false as p_ar,
-           '{UPDATED}' as updated_at, false as is_default, cast(null as bigint) as run_id
-    from (select *, cast(date_trunc('month', from_ts) as date) as m0 from declared)
+SHARED_SQL["rs_rows"] = f"""
+    select d.courier, d.from_ts, cast(null as timestamp) as to_ts,
+           case when capacity_type in ('BAU', 'Combinata') then d.capacity else d.peak_capacity end
+               as capacity,
+           cast(0 as bigint) as sum_monthly, cast(0 as bigint) as sum_weekly,
+           cast(null as varchar) as region, d.province, false as p890, false as p_ar,
+           timestamp '{UPDATED}' as updated_at, capacity_type <> 'Picco' as is_default, r.run_id
+    from (select *, cast(date_trunc('month', from_ts) as date) as m0 from declared) d
+    join runs r on r.month = strftime(from_ts, '%Y-%m')
     where not p890 and not p_ar and p_rs
       and cast(from_ts as date)
           = m0 + cast(case when isodow(m0) = 1 then 7 else 8 - isodow(m0) end as int)
-""")
+"""
+
+
+@query(f"select {RUN_CAPACITY} from rs_rows")
 def rs_capacity(fx):
-    return capacity.rs_capacity(fx.declared(), schemas.CAPACITY_PEAK, UPDATED)
+    return capacity.rs_capacity(fx.declared(), fx.runs(), UPDATED)
+
+
+SHARED_SQL["stored_capacity"] = "select * from run_capacity where run_id % 4 <> 3"
+
+
+@query(f"""
+    select {RUN_CAPACITY} from (
+        select r.courier, r.from_ts, r.to_ts,
+               case when o.run_id is null then r.capacity else o.capacity end as capacity,
+               r.sum_monthly, r.sum_weekly, r.region, r.province, r.p890, r.p_ar, r.updated_at,
+               case when o.run_id is null then r.is_default else o.is_default end as is_default,
+               r.run_id
+        from stored_capacity r left join overrides o
+             on o.run_id = r.run_id and o.courier = r.courier and o.province = r.province
+                and o.from_ts = r.from_ts
+        where r.to_ts is not null
+        union all
+        select o.courier, o.from_ts, o.to_ts, o.capacity, o.sum_monthly,
+               case when o.run_id % 4 = 3 then o.sum_weekly else 0 end, o.region, o.province,
+               o.p890, o.p_ar, timestamp '{UPDATED}', o.is_default, o.run_id
+        from overrides o
+        where not exists (select 1 from stored_capacity r
+                          where o.run_id = r.run_id and o.courier = r.courier
+                            and o.province = r.province and o.from_ts = r.from_ts
+                            and r.to_ts is not null)
+        union all select * from tails
+        union all select * from rs_rows)
+""")
+def save_run_capacity(fx):
+    """Runs with stored capacities are updated, a quarter of them are new; all get RS rows."""
+    stored = fx.run_capacity().filter(F.col("run_id") % 4 != 3)
+    return overrides.save_run_capacity(
+        stored, typed_rows(fx), fx.declared(), fx.runs(), UPDATED
+    )
+
+
+SHARED_SQL["used_delta"] = f"select *, timestamp '{UPDATED}' as updated_at from used_rows"
+
+
+@query(f"""
+    select {RUN_CAPACITY} from (
+        select u.courier, u.from_ts, u.to_ts, u.capacity, u.sum_monthly, u.sum_weekly, u.region,
+               u.province, u.p890, u.p_ar, u.updated_at, u.is_default, u.run_id
+        from used_delta u join runs using (run_id) where run_type = 'Automatizzata'
+        union all
+        select courier, from_ts, to_ts, capacity, sum_monthly, sum_weekly, region, province, p890,
+               p_ar, updated_at, is_default, run_id
+        from (select c.*, run_type from run_capacity c join runs using (run_id)
+              where run_type = 'Automatizzata' or to_ts is not null) c
+        where run_type = 'Automatizzata'
+              or not exists (select 1 from used_delta u
+                             where u.run_id = c.run_id and u.courier = c.courier
+                               and u.province = c.province and u.from_ts = c.from_ts
+                               and u.updated_at > c.updated_at)
+        union all
+        select u.courier, u.from_ts, u.to_ts, u.capacity, u.sum_monthly, u.sum_weekly, u.region,
+               u.province, u.p890, u.p_ar, u.updated_at, u.is_default, u.run_id
+        from used_delta u join runs using (run_id)
+        where run_type = 'Manuale'
+          and not exists (select 1 from run_capacity c
+                          where u.run_id = c.run_id and u.courier = c.courier
+                            and u.province = c.province and u.from_ts = c.from_ts
+                            and c.to_ts is not null and not u.updated_at > c.updated_at))
+""")
+def record_used_capacity(fx):
+    used = capacity.used_capacity(
+        fx.cells(), fx.processed(), fx.runs(), fx.declared(), fx.geo(), UPDATED
+    )
+    return capacity.record_used_capacity(fx.run_capacity(), used, fx.runs())
 
 
 # --- views ---------------------------------------------------------------------------------
@@ -716,6 +802,31 @@ def capacity_sheet(fx):
     return capacity.capacity_sheet(setting(fx))
 
 
+@query("""
+    select c.run_id, c.courier, c.region, c.province, s.province_name,
+           case when c.p890 and c.p_ar then '890-AR' when c.p890 then '890' when c.p_ar then 'AR'
+                else '' end as product,
+           cast(coalesce(s.from_ts, c.from_ts) as varchar) as from_ts,
+           cast(case when cast(c.to_ts as date) = cast(s.to_ts as date) then s.to_ts
+                     else c.to_ts end as varchar) as to_ts,
+           s.sum_monthly as monthly,
+           case when s.courier is not null then c.sum_weekly else 0 end as weekly,
+           c.capacity, case when s.courier is not null then s.capacity else 0 end
+               as original_capacity,
+           s.peak_capacity, coalesce(s.production_capacity, 0) as production_capacity
+    from run_capacity c join runs r using (run_id)
+    left join setting s on c.courier = s.courier
+         and cast(c.from_ts as date) = cast(s.from_ts as date) and c.province = s.province
+         and c.p890 = s.p890 and c.p_ar = s.p_ar and c.sum_monthly = s.sum_monthly
+         and month(cast(r.month || '-01' as date)) = s.month_delivery
+    where c.to_ts is not null and c.p890 is not null and c.p_ar is not null
+          and not (day(c.from_ts) = 1 and strftime(c.from_ts, '%Y-%m') = r.month)
+""")
+def existing_sheet(fx):
+    modified = views.modified_capacity_setting(fx.run_capacity(), fx.runs(), setting(fx))
+    return capacity.existing_sheet(modified, fx.runs())
+
+
 SHARED_SQL["peaks"] = """
     select r.run_id, r.province, r.region, r.courier,
            cast(max(case when count_request >= c.capacity then 1 else 0 end) as bigint) as peak
@@ -831,7 +942,7 @@ def sender_view_ids(fx):
     """The view with consecutive ids in its display order."""
     view = views.sender_view(fx.estimates(), fx.geo())
     order = [F.desc("sum_monthly"), "region", "sender", "product", "delivery_date"]
-    return relational.with_row_id(view, order, -F.col("sum_monthly"))
+    return relational.with_row_id(view, order)
 
 
 @query("""
@@ -1076,6 +1187,62 @@ def compare_runs(fx):
     return compare.compare_pairs(monthly, pairs.join(later, "run_a"), members)
 
 
+SHARED_SQL["chosen_runs"] = """
+    select max(run_id) as run_b, max(run_id) - 10 as run_a from sender_results
+"""
+
+
+@query("""
+    select run_a, run_b, sender, cast(week as varchar) as week,
+           cast(sum(case when run_id = run_a then count_request end) as bigint) as value_a,
+           cast(sum(case when run_id = run_b then count_request end) as bigint) as value_b,
+           cast(coalesce(sum(case when run_id = run_b then count_request end), 0)
+                - coalesce(sum(case when run_id = run_a then count_request end), 0) as bigint)
+               as delta
+    from sender_results join chosen_runs on run_id in (run_a, run_b) group by 1, 2, 3, 4
+""")
+def compare_two_runs(fx):
+    """The newest run beside the one of a year before, week by week."""
+    weekly = fx.sender_results()
+    newest = weekly.agg(F.max("run_id")).first()[0]
+    return compare.compare_runs(weekly, newest - 10, newest, ["sender"])
+
+
+@query("""
+    select run_id, sender, sum_request,
+           row_number() over (partition by run_id order by sum_request desc nulls last, sender)
+               as position
+    from (select run_id, sender, cast(sum(count_request) as bigint) as sum_request
+          from sender_results group by 1, 2)
+""")
+def ranked_senders(fx):
+    summary = views.sender_summary(fx.sender_results(), fx.sender_residuals())
+    ranked = ranking.rank_members(summary, "sum_request")
+    return ranked.select("run_id", "sender", "sum_request", "position")
+
+
+@query("""
+    select run_id, sender, count_residual as sum_residual,
+           row_number() over (partition by run_id order by count_residual asc nulls last, sender)
+               as position
+    from (select distinct run_id, sender from sender_results)
+    left join sender_residuals using (run_id, sender)
+""")
+def ranked_by_residuals(fx):
+    summary = views.sender_summary(fx.sender_results(), fx.sender_residuals())
+    ranked = ranking.rank_members(summary, "sum_residual", desc=False)
+    return ranked.select("run_id", "sender", "sum_residual", "position")
+
+
+@query("""
+    select run_id, sender, cast(week as varchar) as week, count_request
+    from sender_results where sender in ('S1', 'S3', 'S5') and run_id % 10 = 1
+""")
+def series_for(fx):
+    first = [r.run_id for r in fx.runs().filter("run_id % 10 = 1").select("run_id").collect()]
+    return relational.series_for(fx.sender_results(), sender=["S1", "S3", "S5"], run_id=first)
+
+
 @query("""
     select run_id, courier, cast(week as varchar) as week,
            cast(sum(count_request) as bigint) as count_request
@@ -1137,18 +1304,13 @@ def comparable_automated(fx):
 
 
 @query("""
-    select r.run_id, r.month, r.run_type from run_log r
-    join (select arg_max(run_id, executed_at) as run_id, arg_max(month, executed_at) as month
-          from run_log where status = 'Lavorata') c on r.month = c.month and r.run_id <> c.run_id
+    select c.run_id as compared, r.run_id, r.month, r.run_type
+    from run_log r join run_log c on r.month = c.month and r.run_id <> c.run_id
     where r.status = 'Lavorata'
 """)
 def comparable_runs(fx):
-    """Runs to compare the newest finished run with."""
-    log = fx.run_log()
-    done = log.filter(F.col("status") == schemas.STATUS_DONE)
-    newest = done.agg(F.max_by(F.struct("run_id", "month"), "executed_at").alias("n")).first().n
-    runs = compare.comparable_runs(log, newest.run_id, newest.month)
-    return runs.select("run_id", "month", "run_type")
+    """The runs each run can be compared with."""
+    return compare.comparable_runs(fx.run_log()).select("compared", "run_id", "month", "run_type")
 
 
 @query("""
@@ -1230,7 +1392,7 @@ def exported_weeks(fx):
     rows = allocation(fx).select(
         "key", "postal_code", "allocated", cal.next_monday("week").alias("week_label")
     )
-    files.write_by_week(rows, base, max_rows=500)
+    files.write_by_week(rows, base)
     return base
 
 
@@ -1261,7 +1423,7 @@ def week_manifest(fx):
     return (
         sized.join(counted.withColumn("week", label), ["week", "file"])
         .groupBy("week_no", "week")
-        .agg(F.sum("rows_").alias("rows_"), (F.max("rows_") <= 500).alias("batched"))
+        .agg(F.sum("rows_").alias("rows_"), (F.max("rows_") <= schemas.MAX_CSV_ROWS).alias("batched"))
     )
 
 
@@ -1285,3 +1447,133 @@ def reconcile_manifest(fx):
     )
     expected, loaded = weeks.filter(F.col("no") % 5 != 0), weeks.filter(F.col("no") % 4 != 0)
     return manifest.reconcile_manifest(expected, loaded)
+
+
+@query("""
+    select courier as "UNIFIED_DELIVERY_DRIVER", region as "REGIONE", product as "PRODUCT_TYPE",
+           month as "DELIVERY_DATE", sum_monthly as "SUM_MONTHLY_ESTIMATE"
+    from (select c.courier, r.region, e.product, c.month,
+                 cast(sum(e.monthly) as bigint) as sum_monthly
+          from (select distinct courier, province, p_ar, p890,
+                       strftime(from_ts, '%Y-%m') as month from declared) c
+          left join prov_reg r on r.province = c.province
+          left join estimates e on e.province = c.province
+               and ((e.product = 'AR' and c.p_ar) or (e.product = '890' and c.p890))
+               and strftime(e.delivery_date, '%Y-%m') = c.month
+          group by 1, 2, 3, 4 having sum(e.monthly) > 0)
+    where month = '1996-05'
+""")
+def export_courier_view(fx):
+    """A month's file of the courier view, read back."""
+    path = work_folder(fx.spark, "courier-view")
+    files.export_courier_view(
+        views.courier_view(fx.declared(), fx.estimates(), fx.geo()), path, "1996-05"
+    )
+    schema = (
+        "DELIVERY_DATE string, UNIFIED_DELIVERY_DRIVER string, REGIONE string, "
+        "PRODUCT_TYPE string, SUM_MONTHLY_ESTIMATE bigint"
+    )
+    return fx.spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
+
+
+@query("""
+    select week_label, count(*) as pieces, count(distinct request_id) as ids,
+           count(distinct postal_code) as codes
+    from (select cast(cast(date_trunc('week', week) as date) + 7 as varchar) as week_label,
+                 postal_code, key || week || attempt || postal_code || n as request_id
+          from (select *, unnest(generate_series(1, allocated)) as n from allocated_rows))
+    group by 1
+""")
+def export_pieces(fx):
+    """All pieces written in batches by week and read back from the folders found."""
+    base = work_folder(fx.spark, "pieces")
+    pieces.export_pieces(pieces.explode_pieces(allocation(fx)), base)
+    header = ", ".join(f"{name} string" for name in schemas.CSV_PIECE_HEADER.values())
+    read = (
+        fx.spark.read.schema(f"{header}, week_label string")
+        .option("sep", ";")
+        .option("header", True)
+        .csv(base)
+    )
+    return read.groupBy("week_label").agg(
+        F.count(F.lit(1)).alias("pieces"),
+        F.count_distinct("requestId").alias("ids"),
+        F.count_distinct("cap").alias("codes"),
+    )
+
+
+@query("""
+    select run_id, sender, cast(week as varchar) as week, count_request from sender_results
+    union all
+    select run_id + 1000, sender, cast(week as varchar), count_request from sender_results
+""")
+def append_table(fx):
+    """A table that two loads append to, read back."""
+    base = work_folder(fx.spark, "tables")
+    for shift in (0, 1000):
+        rows = fx.sender_results().withColumn("run_id", F.col("run_id") + shift)
+        tables.append_table(rows, base, "results")
+    return tables.read_table(fx.spark, base, "results")
+
+
+@query("""
+    select run_id, sender, cast(week as varchar) as week, count_request from sender_results
+    where run_id = (select min(run_id) from runs)
+""")
+def read_run(fx):
+    """The stored results of one run; the condition reaches the scan."""
+    base = work_folder(fx.spark, "tables")
+    tables.append_table(fx.sender_results(), base, "results")
+    oldest = fx.runs().agg(F.min("run_id")).first()[0]
+    return tables.read_table(fx.spark, base, "results", F.col("run_id") == oldest)
+
+
+@query("select postal_code, region, province_name, province, pop from geo")
+def reload_dim(fx):
+    """A dimension loaded from CSV files with a header, read back."""
+    base = work_folder(fx.spark, "dimension")
+    wanted = ["postal_code", "region", "province_name", "province", "pop"]
+    fx.geo().select(*wanted).write.option("header", True).csv(f"{base}/csv")
+    schema = "postal_code string, region string, province_name string, province string, pop bigint"
+    tables.reload_dim(fx.spark, f"{base}/csv", base, "geo", schema)
+    return tables.read_table(fx.spark, base, "geo")
+
+
+@query(merge_sql("estimates", schemas.ESTIMATE_KEYS, ESTIMATE_COLUMNS, ESTIMATES))
+def guarded_merge(fx):
+    """The weekly load: an upsert that an empty delta would fail, then an empty staging table."""
+    delta = fx.estimates_delta()
+    merged = merge.guarded_merge(fx.estimates(), delta, schemas.ESTIMATE_KEYS, "empty delta")
+    return merged.unionByName(merge.truncate_staging(delta))
+
+
+@query("""
+    select cast(cast(date_trunc('week', week) as date) + 7 as varchar) as extract_date,
+           strftime(week, '%Y-%m') as month, count(*) as rows_
+    from allocated_rows group by 1, 2
+""")
+def path_parts(fx):
+    """Day, month and file of dated extract paths, counted."""
+    day = F.date_format(cal.next_monday("week"), "yyyy/MM/dd")
+    month = F.date_format("week", "yyyy-MM")
+    path = F.concat_ws("/", F.lit("base/in"), day, month, F.col("postal_code"))
+    parts = fn.path_parts(path, 2)
+    return (
+        allocation(fx).select(parts["extract_date"].alias("extract_date"), parts["month"].alias("month"))
+        .groupBy("extract_date", "month")
+        .agg(F.count(F.lit(1)).alias("rows_"))
+    )
+
+
+@query("""
+    select sender, province, product, monthly + 0.5::double as monthly
+    from estimates where monthly % 2 = 0
+""")
+def decode_body(fx):
+    """Single bodies decoded one by one; malformed ones give NULL and drop out."""
+    even = F.col("monthly") % 2 == 0
+    good = F.to_json(F.struct("sender", "province", "product", (F.col("monthly") + 0.5).alias("m")))
+    bodies = fx.estimates().select(F.when(even, good).otherwise(F.lit("{broken")).alias("body"))
+    schema = "sender string, province string, product string, m double"
+    rows = bodies.select(fn.decode_body("body", schema).alias("r")).filter("r.sender is not null")
+    return rows.select("r.sender", "r.province", "r.product", F.col("r.m").alias("monthly"))

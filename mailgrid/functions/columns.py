@@ -22,15 +22,6 @@ def pct_floor(col, divisor):
     return F.floor(as_col(col) / F.lit(divisor)).cast("bigint")
 
 
-def chunk_count(rows, max_rows):
-    return F.ceil(as_col(rows) / F.lit(max_rows)).cast("bigint")
-
-
-def remainder(col):
-    """Fractional part of a non-negative quota."""
-    return as_col(col) - F.floor(as_col(col))
-
-
 # --- keys ----------------------------------------------------------------------------------
 
 
@@ -110,7 +101,7 @@ def parse_dmy(col):
 def hour_to_zero(text):
     """Sets the hour digits of an ISO timestamp text to 00, minutes and seconds kept."""
     text = as_col(text)
-    return F.concat(F.substring(text, 1, 11), F.lit("00"), F.substring(text, 14, 100))
+    return F.concat(F.substring(text, 1, 11), F.lit("00"), F.substr(text, F.lit(14)))
 
 
 def iso_ms(col):

@@ -1,6 +1,6 @@
 """Table maintenance as functions from the old table to the new one.
 
-A new table is committed with ``sources.tables.write_version``; nothing is updated in place.
+Nothing is updated in place: the caller writes the new table to a new folder.
 """
 
 from functools import reduce

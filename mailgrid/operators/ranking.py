@@ -1,5 +1,6 @@
 """Sorted lists and top members of the run reports."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailgrid.operators.relational import first_by, hot_join
@@ -10,14 +11,10 @@ def _metric(metric, desc):
     return col.desc_nulls_last() if desc else col.asc_nulls_last()
 
 
-def ordered(df, *cols):
-    """Sorts for presentation."""
-    return df.orderBy(*cols)
-
-
 def rank_members(df, metric, desc=True, tie="sender"):
-    """Members by a metric, those without a value last."""
-    return df.orderBy(_metric(metric, desc), F.col(tie))
+    """Members of each run with their position by a metric, those without a value last."""
+    run = Window.partitionBy("run_id").orderBy(_metric(metric, desc), F.col(tie))
+    return df.withColumn("position", F.row_number().over(run))
 
 
 def top_members(summary, metric, n, desc=True, member="sender"):

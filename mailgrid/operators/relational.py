@@ -2,8 +2,8 @@
 
 Group steps are written so that one key may hold a large part of the rows: aggregates combine
 before the shuffle, ``row_number() <= k`` is limited per task before the shuffle, and a group
-fact is joined back (AQE splits the large side) instead of being computed in a window that
-would hold the whole group.
+fact of large groups is joined back (AQE splits the large side) instead of being computed in a
+window that would hold the whole group.
 """
 
 from functools import reduce
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mailgrid.functions.columns import as_col
+from mailgrid.session import checkpointed
 
 
 def hot_join(left, right, keys, how="inner"):
@@ -48,10 +49,6 @@ def stamp(df, run_id=None, updated_at=None):
     return df
 
 
-def cast_all(df, types):
-    return df.withColumns({name: F.col(name).cast(kind) for name, kind in types.items()})
-
-
 def series_for(df, **members):
     """Rows whose columns equal the value, or are in the list, given for each; an empty list
     selects nothing."""
@@ -63,31 +60,26 @@ def series_for(df, **members):
     return df
 
 
-def repeat_rows(df, n, chunk=10000, ordinal="ordinal"):
+def repeat_rows(df, n, chunk=1000, ordinal="ordinal"):
     """One row per unit of ``n``, numbered from 1; rows with ``n`` below 1 disappear.
 
-    An input row of at most ``chunk`` units unfolds where it is. A larger one is first cut
-    into chunks, which are spread over the tasks, so no task unfolds a huge row alone and no
-    array grows past ``chunk`` entries. The number of tasks is given, because AQE would merge
-    the chunks again: it sees their few bytes, not the rows they turn into.
+    Every row is first cut into chunks, which are spread over the tasks, so no task unfolds a
+    huge row alone and no array grows past ``chunk`` entries. The number of tasks is given,
+    because AQE would merge the chunks again: it sees their few bytes, not the rows they turn
+    into.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = as_col(n)
-    small = df.filter(n.between(1, chunk)).withColumn(
-        ordinal, F.explode(F.sequence(F.lit(1).cast("bigint"), n.cast("bigint")))
-    )
-    start = F.sequence(F.lit(1).cast("bigint"), n.cast("bigint"), F.lit(chunk).cast("bigint"))
-    large = (
-        df.filter(n > chunk)
+    n, one = as_col(n).cast("bigint"), F.lit(1).cast("bigint")
+    start = F.sequence(one, n, F.lit(chunk).cast("bigint"))
+    return (
+        df.filter(n >= 1)
         .withColumn("_from", F.explode(start))
         .repartition(tasks, *df.columns, "_from")
         .withColumn(
-            ordinal,
-            F.explode(F.sequence("_from", F.least(n.cast("bigint"), F.col("_from") + chunk - 1))),
+            ordinal, F.explode(F.sequence("_from", F.least(n, F.col("_from") + chunk - 1)))
         )
         .drop("_from")
     )
-    return small.unionByName(large)
 
 
 # --- keyed picks ---------------------------------------------------------------------------
@@ -147,9 +139,12 @@ def distinct_by(df, keys, member, name="count_request"):
 
 
 def max_over_group(df, keys, value, name):
-    """Adds the group's maximum to each row; rows with a NULL key get NULL."""
-    peak = df.groupBy(*keys).agg(F.max(value).alias(name))
-    return hot_join(df, peak, keys, "left")
+    """Adds the group's maximum to each row; rows with a NULL key get NULL.
+
+    One scan and one shuffle; for groups of a few rows, which share a task.
+    """
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return df.withColumn(name, F.when(complete, F.max(value).over(Window.partitionBy(*keys))))
 
 
 def count_over_group(df, keys, name):
@@ -176,64 +171,34 @@ def classify_flags(df, keys, flag="is_default", name="flag_class"):
     )
 
 
-def rank_in_group(df, keys, order, chunk, name="position"):
-    """Row number in each group for groups too large for one task.
+def with_row_id(df, order, name="id"):
+    """Consecutive ids over the whole frame in the given order, which must be total.
 
-    ``chunk`` is a column that grows with the order (equal order values, equal chunk). Rows
-    are numbered inside (group, chunk) and shifted by the rows of the earlier chunks, so only
-    one number per chunk, never the rows, comes together per group.
+    The rows are range-partitioned by the order and kept. Only the number of rows of each
+    partition, one number per task, comes to the driver; each row then adds the rows of the
+    partitions before its own.
     """
-    cut = df.withColumn("_chunk", chunk)
-    sizes = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
-    )
-    shift = sizes.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("_chunk").alias("_at"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys],
-        F.col("_chunk").eqNullSafe(F.col("_at")),
-    )
-    return (
-        cut.withColumn("_inside", F.row_number().over(inside))
-        .join(shift, same)
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_chunk", "_at", "_before", "_inside", *[f"_{k}" for k in keys])
-    )
-
-
-def with_row_id(df, order, chunk, name="id"):
-    """Consecutive ids over the whole frame in the given order; see ``rank_in_group``."""
-    return rank_in_group(df.withColumn("_all", F.lit(1)), ["_all"], order, chunk, name).drop("_all")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # The id's upper bits are the partition, the lower 33 the place in it.
+    placed = checkpointed(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.cast("int").alias("part")).count().orderBy("part").collect()
+    before, total = F.lit(0).cast("bigint"), 0
+    for row in sizes:
+        before = F.when(part == row["part"], F.lit(total).cast("bigint")).otherwise(before)
+        total += row["count"]
+    own = F.col("_at") - F.shiftleft(part, 33)
+    return placed.withColumn(name, before + own + 1).drop("_at")
 
 
 def week_ordinal(results, keys, name="week_no"):
-    """Number of a result row's week inside its series."""
-    return rank_in_group(results, keys, [F.col("count_request")], F.col("week"), name)
+    """Number of a result row's week inside its series, which has a few weeks."""
+    series = Window.partitionBy(*keys).orderBy("week", "count_request")
+    return results.withColumn(name, F.row_number().over(series))
 
 
 def sum_first_weeks(results, keys, n, name):
     """Sum of the first n present weeks; only n rows per task and series are shuffled."""
     head = first_by(results, keys, [F.col("week"), F.col("count_request")], n)
     return head.groupBy(*keys).agg(F.sum("count_request").alias(name))
-
-
-def sum_after_week(results, keys, n=5, name="sum_after"):
-    """Sum of the weeks after the n-th present one, for the series that have such weeks: the
-    total, which combines before the shuffle, minus the first n weeks."""
-    total = results.groupBy(*keys).agg(
-        F.sum("count_request").alias("_total"), F.count(F.lit(1)).alias("_weeks")
-    )
-    head = sum_first_weeks(results, keys, n, "_head").withColumnsRenamed(
-        {k: f"_{k}" for k in keys}
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    late = total.filter(F.col("_weeks") > n).join(head, same)
-    return late.select(*keys, (F.col("_total") - F.col("_head")).alias(name))

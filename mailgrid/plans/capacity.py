@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.functions import columns as fn
-from mailgrid.operators.merge import drop_open_ended, merge_run_capacity
+from mailgrid.operators.merge import merge_run_capacity
 from mailgrid.operators.relational import (
     classify_flags,
     conform,
@@ -98,18 +98,22 @@ def with_province(postal_capacity, geo):
     return postal_capacity.join(geo.select("postal_code", "province"), "postal_code", "left")
 
 
-def uncovered_capacity(postal_capacity, run_capacity, geo):
-    """Postal capacities whose courier and province the run does not have."""
-    pairs = run_capacity.select("courier", "province").distinct()
-    return hot_join(
-        with_province(postal_capacity, geo), pairs, ["courier", "province"], "left_anti"
-    )
+def for_each_run(postal_capacity, runs, geo):
+    """The postal capacities once for each run, which is what an assignment lists anyway."""
+    return with_province(postal_capacity, geo).crossJoin(runs.select("run_id").distinct())
+
+
+def uncovered_capacity(postal_capacity, run_capacity, geo, runs):
+    """Postal capacities of each run whose courier and province the run does not have."""
+    keys = ["run_id", "courier", "province"]
+    pairs = run_capacity.select(*keys).distinct()
+    return hot_join(for_each_run(postal_capacity, runs, geo), pairs, keys, "left_anti")
 
 
 def capacity_slots(run_capacity):
     """What a run says per courier and province: one row if all its weeks agree, else one row
     per week with that week's flag and window."""
-    pair = ["courier", "province"]
+    pair = ["run_id", "courier", "province"]
     classes = classify_flags(run_capacity, pair)
     uniform = classes.filter(F.col("flag_class") != "mixed").select(
         *pair,
@@ -118,25 +122,23 @@ def capacity_slots(run_capacity):
         F.lit(None).cast("timestamp_ntz").alias("week_from"),
         F.lit(None).cast("timestamp_ntz").alias("week_to"),
     )
-    weekly = (
-        run_capacity.select(
-            *pair, "is_default", F.col("from_ts").alias("week_from"), F.col("to_ts").alias("week_to")
-        )
-        .join(classes.filter(F.col("flag_class") == "mixed"), pair)
-        .select(*uniform.columns)
+    weeks = run_capacity.select(
+        *pair, "is_default", F.col("from_ts").alias("week_from"), F.col("to_ts").alias("week_to")
     )
-    return uniform.unionByName(weekly)
+    mixed = classes.filter(F.col("flag_class") == "mixed")
+    return uniform.unionByName(hot_join(weeks, mixed, pair).select(*uniform.columns))
 
 
-def assign_capacity(postal_capacity, run_capacity, geo):
-    """Base or peak capacity of each postal code for one run.
+def assign_capacity(postal_capacity, run_capacity, geo, runs):
+    """Base or peak capacity of each postal code in each run.
 
-    If every week of the courier and province has the default capacity, the base value is used
-    in both columns, and if none has, the peak value. If they differ, each postal code gets one
-    row per week of the run, with that week's window; a week without a flag gets 0. Pairs the
-    run does not have keep their row and count as default.
+    If every week of the run's courier and province has the default capacity, the base value is
+    used in both columns, and if none has, the peak value. If they differ, each postal code gets
+    one row per week of the run, with that week's window; a week without a flag gets 0. Pairs
+    the run does not have keep their row and count as default.
 
-    All cases are one left join with the run's slots, so the postal table moves once.
+    All cases are one left join with the runs' slots; a frequent courier and province of a run
+    can be split.
     """
     base, peak = F.col("capacity"), F.col("peak_capacity")
     mixed = F.col("flag_class") == "mixed"
@@ -146,20 +148,19 @@ def assign_capacity(postal_capacity, run_capacity, geo):
         .otherwise((base + peak) * 0)
     )
     covered = F.col("flag_class").isNotNull()
-    return (
-        with_province(postal_capacity, geo)
-        .join(capacity_slots(run_capacity), ["courier", "province"], "left")
-        .select(
-            "courier",
-            "postal_code",
-            F.when(covered, chosen).otherwise(base).cast("int").alias("capacity"),
-            F.when(covered, chosen).otherwise(peak).cast("int").alias("peak_capacity"),
-            F.when(mixed, F.col("week_from")).otherwise(F.col("from_ts")).alias("from_ts"),
-            F.when(mixed, F.col("week_to")).otherwise(F.col("to_ts")).alias("to_ts"),
-            "products",
-            "province",
-            F.when(covered, F.col("is_default")).otherwise(F.lit(True)).alias("is_default"),
-        )
+    each = for_each_run(postal_capacity, runs, geo)
+    slots = capacity_slots(run_capacity)
+    return hot_join(each, slots, ["run_id", "courier", "province"], "left").select(
+        "run_id",
+        "courier",
+        "postal_code",
+        F.when(covered, chosen).otherwise(base).cast("int").alias("capacity"),
+        F.when(covered, chosen).otherwise(peak).cast("int").alias("peak_capacity"),
+        F.when(mixed, F.col("week_from")).otherwise(F.col("from_ts")).alias("from_ts"),
+        F.when(mixed, F.col("week_to")).otherwise(F.col("to_ts")).alias("to_ts"),
+        "products",
+        "province",
+        F.when(covered, F.col("is_default")).otherwise(F.lit(True)).alias("is_default"),
     )
 
 
@@ -168,9 +169,9 @@ def peak_only(assigned):
     return assigned.filter(~F.col("is_default"))
 
 
-def capacity_outputs(assigned, run_id, updated_at):
-    """The table rows, and the rows of the full and of the peak-only file."""
-    table = conform(stamp(assigned, run_id, updated_at), schemas.RUN_POSTAL_CAPACITY)
+def capacity_outputs(assigned, updated_at):
+    """The table rows, and the rows of the full and of the peak-only file, of each run."""
+    table = conform(stamp(assigned, updated_at=updated_at), schemas.RUN_POSTAL_CAPACITY)
     plain = assigned.withColumn("products", F.lit(None).cast("string"))
     return {"table": table, "all": plain, "modified": peak_only(plain)}
 
@@ -226,31 +227,35 @@ def used_capacity(cells, processed, runs, declared, geo, updated_at):
     return conform(stamp(rows, updated_at=updated_at), schemas.RUN_CAPACITY)
 
 
-def record_used_capacity(run_capacity, used, run_id, run_type):
-    """Run capacities after a run: an automated run appends, a manual one replaces its
-    open-ended rows by an upsert of the weeks."""
-    if run_type == schemas.RUN_AUTOMATED:
-        return run_capacity.unionByName(used)
-    return merge_run_capacity(drop_open_ended(run_capacity, run_id), used)
+def record_used_capacity(run_capacity, used, runs):
+    """Run capacities after the runs: an automated run appends its used capacities, a manual
+    one replaces its open-ended rows by an upsert of the weeks."""
+    kinds = runs.select("run_id", "run_type")
+    manual = kinds.filter(F.col("run_type") == schemas.RUN_MANUAL).select("run_id")
+    mine = used.join(manual, "run_id", "left_semi")
+    others = used.join(manual, "run_id", "left_anti")
+    marked = run_capacity.join(manual.withColumn("_manual", F.lit(True)), "run_id", "left")
+    kept = marked.filter(F.col("_manual").isNull() | F.col("to_ts").isNotNull()).drop("_manual")
+    return merge_run_capacity(kept, mine).unionByName(others)
 
 
 # --- capacities of a new run ---------------------------------------------------------------
 
 
-def rs_capacity(declared, capacity_type, updated_at, month=None):
-    """Open-ended rows for capacities that carry only RS mail, from the first simulated Monday
-    of the month (of every month when none is given)."""
+def rs_capacity(declared, runs, updated_at):
+    """Open-ended rows of each run for capacities that carry only RS mail, from the first
+    simulated Monday of the run's month."""
     monday = cal.first_sim_monday("from_ts")
     rs = declared.filter(
         ~F.col("p890") & ~F.col("p_ar") & F.col("p_rs") & (F.col("from_ts") == cal.midnight(monday))
-    )
-    if month is not None:
-        rs = rs.filter(cal.month_key("from_ts") == month)
-    plain = capacity_type in (schemas.CAPACITY_BASE, schemas.CAPACITY_MIXED)
-    rows = rs.select(
+    ).withColumn("month", cal.month_key("from_ts"))
+    of_run = runs.select("run_id", "month", "capacity_type")
+    kind = F.col("capacity_type")
+    plain = kind.isin(schemas.CAPACITY_BASE, schemas.CAPACITY_MIXED)
+    rows = rs.join(of_run, "month").select(
         "courier",
         "from_ts",
-        F.col("capacity" if plain else "peak_capacity").alias("capacity"),
+        F.when(plain, F.col("capacity")).otherwise(F.col("peak_capacity")).alias("capacity"),
         "province",
         F.lit(None).alias("to_ts"),
         F.lit(None).alias("region"),
@@ -258,8 +263,8 @@ def rs_capacity(declared, capacity_type, updated_at, month=None):
         F.lit(0).alias("sum_weekly"),
         F.lit(False).alias("p890"),
         F.lit(False).alias("p_ar"),
-        F.lit(capacity_type != schemas.CAPACITY_PEAK).alias("is_default"),
-        F.lit(None).alias("run_id"),
+        (~kind.eqNullSafe(schemas.CAPACITY_PEAK)).alias("is_default"),
+        "run_id",
     )
     return conform(stamp(rows, updated_at=updated_at), schemas.RUN_CAPACITY)
 
@@ -309,3 +314,27 @@ def capacity_sheet(setting, month=None):
         "peak_capacity",
         F.coalesce("production_capacity", F.lit(0)).alias("production_capacity"),
     )
+
+
+def existing_sheet(modified, runs):
+    """Editable capacities of existing runs: the stored capacity beside the declared one, and
+    the stored weekly estimate. A start on day 1 of the run's own month is no week of it."""
+    months = runs.select("run_id", "month")
+    first = (F.dayofmonth("from_ts") == 1) & (cal.month_key("from_ts") == F.col("month"))
+    rows = editable_capacity(modified).join(months, "run_id")
+    return rows.filter(~F.coalesce(first, F.lit(False))).select(
+        "run_id",
+        "courier",
+        "region",
+        "province",
+        "province_name",
+        fn.flags_to_products(style="sheet").alias("product"),
+        "from_ts",
+        "to_ts",
+        F.col("sum_monthly").alias("monthly"),
+        F.col("sum_weekly").alias("weekly"),
+        F.col("modified_capacity").alias("capacity"),
+        F.col("capacity").alias("original_capacity"),
+        "peak_capacity",
+        F.coalesce("production_capacity", F.lit(0)).alias("production_capacity"),
+    )

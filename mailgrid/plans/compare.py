@@ -63,13 +63,13 @@ def comparable_automated(runs):
     )
 
 
-def comparable_runs(runs, run_id, month):
-    """Finished runs of a month other than the given one."""
-    return runs.filter(
-        (F.col("status") == schemas.STATUS_DONE)
-        & (F.col("month") == month)
-        & (F.col("run_id") != run_id)
-    )
+def comparable_runs(runs, to=None):
+    """Pairs of a run of ``to`` (all runs when not given) and a finished run of its month other
+    than itself."""
+    to = runs if to is None else to
+    base = to.select("month", F.col("run_id").alias("compared"))
+    done = runs.filter(F.col("status") == schemas.STATUS_DONE)
+    return done.join(base, "month").filter(F.col("run_id") != F.col("compared"))
 
 
 # --- two runs side by side -----------------------------------------------------------------

@@ -13,6 +13,8 @@ from mailgrid.operators.relational import (
     pick_one,
     stamp,
 )
+from mailgrid.plans.capacity import rs_capacity
+from mailgrid.session import checkpointed
 
 ROW_KEYS = ["run_id", "courier", "province", "from_ts"]
 TAIL_KEYS = ["run_id", "courier", "region", "province"]
@@ -103,14 +105,19 @@ def apply_overrides(run_capacity, overrides, capacity_type, updated_at):
     row takes its capacity and flag, other rows stay as they are, and typed rows without such a
     partner are added with a weekly estimate of 0, as are the new tails. Of typed rows with the
     same key the last one counts.
+
+    The typed rows are kept once they are parsed. The stored capacities are read twice, the
+    second time only their keys: a full outer join would read them once, but could neither
+    leave them where they are nor split a frequent key.
     """
+    overrides = checkpointed(overrides.withColumn("_kind", fn.as_col(capacity_type)))
     edited = overrides.select("run_id").distinct().withColumn("_edited", F.lit(True))
     old = (
         run_capacity.join(edited, "run_id", "left")
         .filter(F.col("to_ts").isNotNull() | F.col("_edited").isNull())
         .drop("_edited")
     )
-    typed = pick_one(overrides, ROW_KEYS, [F.col("position").desc()])
+    typed = checkpointed(pick_one(overrides.drop("_kind"), ROW_KEYS, [F.col("position").desc()]))
     fresh = typed.select(
         *ROW_KEYS,
         F.col("capacity").alias("_capacity"),
@@ -121,11 +128,32 @@ def apply_overrides(run_capacity, overrides, capacity_type, updated_at):
     kept = hot_join(old, fresh, ROW_KEYS, "left").select(
         *[
             F.when(F.col("_hit"), taken[c]).otherwise(F.col(c)).alias(c) if c in taken else F.col(c)
-            for c in old.columns
+            for c in run_capacity.columns
         ]
     )
     added = new_keys(typed, matched_keys(old, typed, ROW_KEYS), ROW_KEYS)
     added = added.withColumn("sum_weekly", F.lit(0))
     added = conform(stamp(added, updated_at=updated_at), schemas.RUN_CAPACITY)
-    tails = append_tails(overrides, capacity_type, updated_at)
+    tails = append_tails(overrides, "_kind", updated_at)
     return kept.unionByName(added).unionByName(tails)
+
+
+def save_run_capacity(run_capacity, overrides, declared, runs, updated_at):
+    """Run capacities after the user saved the runs of ``overrides``.
+
+    A run that has capacities with an end gets its typed rows applied to them, any other run
+    has them inserted. Both then get the open-ended rows of their RS capacities back, from the
+    run's month and with the capacity of its type.
+    """
+    kinds = runs.select("run_id", "capacity_type")
+    typed = checkpointed(overrides.join(kinds, "run_id"))
+    stored = run_capacity.filter(F.col("to_ts").isNotNull()).select("run_id").distinct()
+    changed = typed.join(stored, "run_id", "left_semi")
+    new = typed.join(stored, "run_id", "left_anti")
+    saved = typed.select("run_id").distinct()
+    rs = rs_capacity(declared, runs.join(saved, "run_id", "left_semi"), updated_at)
+    return (
+        apply_overrides(run_capacity, changed, "capacity_type", updated_at)
+        .unionByName(insert_overrides(new, "capacity_type", updated_at))
+        .unionByName(rs)
+    )

@@ -9,12 +9,6 @@ from mailgrid.operators.relational import any_flag, pick_one, sum_first_weeks
 from mailgrid.plans.results import province_region
 
 
-def register(views):
-    """Makes views available to SQL, by name."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-
-
 # --- capacities ----------------------------------------------------------------------------
 
 
@@ -235,14 +229,6 @@ def sender_view(estimates, geo):
     )
 
 
-def sender_view_order(view):
-    return view.orderBy(F.desc("sum_monthly"), "region", "sender", "product")
-
-
-def courier_view_order(view):
-    return view.orderBy("courier", "region", "product")
-
-
 def active_capacity(declared):
     """Courier, province, product flags and month of every declared capacity, once each."""
     return declared.select(

@@ -34,8 +34,8 @@ RUNS = (
 
 # Items of the paged service answers, as they are landed (all fields optional).
 ESTIMATE_ITEM = (
-    "deliveryDate string, fileKey string, monthlyEstimate double, originalEstimate int, "
-    "paId string, pk string, productType string, province string, ttl string, weeklyEstimate int"
+    "deliveryDate string, monthlyEstimate double, originalEstimate int, paId string, pk string, "
+    "productType string, province string, weeklyEstimate int"
 )
 CAPACITY_ITEM = (
     "activationDateFrom string, activationDateTo string, capacity bigint, createdAt string, "
@@ -43,10 +43,8 @@ CAPACITY_ITEM = (
     "tenderIdGeoKey string, unifiedDeliveryDriver string"
 )
 PIECE_ITEM = (
-    "attempt string, cap string, communicationType string, createdAt string, iun string, "
-    "notificationSentAt string, pk string, prepareRequestDate string, priority string, "
-    "productType string, province string, requestId string, senderPaId string, sk string, "
-    "tenderId string, unifiedDeliveryDriver string, workflowStep string"
+    "attempt string, cap string, productType string, province string, requestId string, "
+    "senderPaId string, unifiedDeliveryDriver string, workflowStep string"
 )
 OVERRIDE_ROW = (
     "regione string, cod_sigla_provincia string, product string, postalizzazioni_mensili string, "

@@ -1,6 +1,8 @@
 """Session settings the package is tuned for, and the shared work folder."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +38,18 @@ def local_session(app="mailgrid", cpus="8", memory="8g", **extra):
     return spark
 
 
+def checkpointed(df):
+    """Cuts the lineage with a reliable checkpoint in the folder all executors share.
+
+    The files go when the frame is no longer referenced, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def work_folder(spark, name):
     """A fresh folder below the shared folder the cluster names in spark.checkpoint.dir.
 
@@ -47,4 +61,5 @@ def work_folder(spark, name):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="mailgrid-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")

@@ -4,7 +4,6 @@ import datetime as dt
 import os
 
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
@@ -49,14 +48,6 @@ def write_by_week(df, path, max_rows=schemas.MAX_CSV_ROWS, quote_all=True):
     write_csv_batches(df, path, max_rows, quote_all, by="week_label")
 
 
-def write_csv_single(df, path, max_rows=1_000_000, quote_all=False):
-    """One CSV file if the rows are few enough for one task, else files of ``max_rows`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        _csv(df.coalesce(1).write, quote_all).csv(path)
-    else:
-        write_csv_batches(df, path, max_rows, quote_all)
-
-
 def province_capacity_rows(run_capacity, run_id=None, modified_only=False):
     """Rows of the province-capacity file: rows without any product flag are left out, the end
     of an open window is empty, and the peak column repeats the capacity."""
@@ -96,7 +87,7 @@ def export_courier_view(view, path, month):
         F.col("product").alias("PRODUCT_TYPE"),
         F.col("sum_monthly").alias("SUM_MONTHLY_ESTIMATE"),
     )
-    write_csv_single(rows, path)
+    write_csv_batches(rows, path)
 
 
 def piece_rows(pieces):
@@ -107,6 +98,12 @@ def piece_rows(pieces):
     )
 
 
+def path_exists(spark, path):
+    """Whether the path is there, on whatever storage; other errors rise."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def write_snapshot(df, base, extract_date, month):
     """Adds a month's extract of one day as ``base/extract_date=.../month=...``."""
     path = os.path.join(base, f"extract_date={extract_date}", f"month={month}")
@@ -118,19 +115,22 @@ def read_latest_snapshot(
 ):
     """The month's newest extract of the last ``lookback_days`` days, ``as_of`` included.
 
-    Both conditions are on partition columns, so only the one folder is read. Without any
-    extract it fails, or is empty when not ``required``.
+    Months are compared whole. Only folders of the window's days are listed, and only the one
+    folder is read. Without any extract it fails, or has no rows and no columns when not
+    ``required``.
     """
     as_of = dt.date.fromisoformat(str(as_of))
     oldest = as_of - dt.timedelta(days=lookback_days - 1)
-    window = spark.read.parquet(base).filter(
-        F.col("month").cast("string").startswith(month)
-        & F.col("extract_date").cast("date").between(oldest, as_of)
-    )
-    newest = window.agg(F.max("extract_date")).first()[0]
-    if newest is None and required:
+    day = oldest
+    found = []
+    while day <= as_of:
+        path = os.path.join(base, f"extract_date={day}", f"month={month}")
+        if path_exists(spark, path):
+            found.append(path)
+        day += dt.timedelta(days=1)
+    if not found and required:
         raise FileNotFoundError(f"no extract of {month} in {base} since {oldest}")
-    return window.filter(F.col("extract_date") == F.lit(newest))
+    return spark.read.option("basePath", base).parquet(found[-1]) if found else spark.range(0).select()
 
 
 def extract_folder(base, day, month):
@@ -142,22 +142,17 @@ def latest_extract_folder(
     spark, base, month, as_of, lookback_days=schemas.LOOKBACK_DAYS, required=True
 ):
     """The newest such folder of the last ``lookback_days`` days that holds a CSV file, or None
-    if none is ``required``. Only paths are listed, no file is read."""
+    if none is ``required``. Only the window's own folders are listed, no file is read."""
     as_of = dt.date.fromisoformat(str(as_of))
     oldest = as_of - dt.timedelta(days=lookback_days - 1)
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-    )
-    day = F.regexp_extract("path", rf"/(\d{{4}}/\d{{2}}/\d{{2}})/{month}/", 1)
-    try:
-        found = listing.load(os.path.join(base, "*/*/*", month)).select(
-            F.to_date(F.nullif(day, F.lit("")), "yyyy/MM/dd").alias("day")
-        )
-        newest = found.filter(F.col("day").between(oldest, as_of)).agg(F.max("day")).first()[0]
-    except AnalysisException:  # no such folder at all
-        newest = None
+    newest, day = None, as_of
+    while newest is None and day >= oldest:
+        folder = extract_folder(base, day, month)
+        if path_exists(spark, folder):
+            listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            found = listing.option("pathGlobFilter", "*.csv").load(folder).select("path")
+            newest = None if found.isEmpty() else day
+        day -= dt.timedelta(days=1)
     if newest is None and required:
         raise FileNotFoundError(f"no extract of {month} in {base} since {oldest}")
     return newest and extract_folder(base, newest, month)

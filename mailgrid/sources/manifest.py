@@ -65,7 +65,12 @@ def reconcile_manifest(expected, loaded, key="file_name"):
 
 def require_complete(reconciled):
     """Fails when any expected file is missing or any other one was loaded."""
-    bad = reconciled.filter(F.col("status") != "loaded").limit(5).collect()
+    bad = (
+        reconciled.filter(F.col("status") != "loaded")
+        .groupBy("status")
+        .agg(F.count(F.lit(1)).alias("files"), F.min(reconciled.columns[0]).alias("example"))
+        .collect()
+    )
     if bad:
-        raise ValueError(f"files do not reconcile, for example: {bad}")
+        raise ValueError(f"files do not reconcile: {[tuple(row) for row in bad]}")
     return reconciled

@@ -1,10 +1,7 @@
-"""Relational and columnar tables, and versioned commits of whole tables."""
+"""Relational and columnar tables."""
 
 import os
 
-from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-
 
 def read_table(spark, source, name, where=None):
     """Reads a table from JDBC or from a folder of parquet tables.
@@ -29,42 +26,11 @@ def append_table(df, target, name):
 
 
 def reload_dim(spark, csv_path, target, name, schema):
-    """Replaces a reference table by the rows of a CSV file with a header, in one commit."""
+    """Replaces a reference table by the rows of a CSV file with a header."""
     df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(csv_path)
     if isinstance(target, dict):
         writer = df.write.format("jdbc").options(**target).option("dbtable", name)
         writer.option("truncate", True).mode("overwrite").save()
     else:
-        write_version(df, os.path.join(target, name))
+        df.write.mode("overwrite").parquet(os.path.join(target, f"{name}.parquet"))
     return df
-
-
-def current_version(spark, base):
-    """Number of the last committed version, 0 when there is none."""
-    try:
-        commits = spark.read.schema("version int").parquet(os.path.join(base, "commits"))
-    except AnalysisException:
-        return 0
-    return commits.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
-
-def write_version(df, base):
-    """Writes the whole table as a new version, then commits it with one small append.
-
-    The new content may be computed from the current version: that one stays in place. A job
-    that dies half way leaves an uncommitted folder, which the next one overwrites.
-    """
-    spark = df.sparkSession
-    version = current_version(spark, base) + 1
-    df.write.mode("overwrite").parquet(os.path.join(base, f"version={version}"))
-    mark = spark.range(1).select(F.lit(version).cast("int").alias("version"))
-    mark.write.mode("append").parquet(os.path.join(base, "commits"))
-    return version
-
-
-def read_version(spark, base, version=None):
-    """The committed content of a versioned table."""
-    version = version or current_version(spark, base)
-    if not version:
-        raise ValueError(f"no committed version in {base}")
-    return spark.read.parquet(os.path.join(base, f"version={version}"))

@@ -34,7 +34,7 @@ def postal(spark):
 
 
 def test_assignment_cases(spark, rows):
-    out = capacity.assign_capacity(postal(spark), run_capacity(spark), geo(spark))
+    out = capacity.assign_capacity(postal(spark), run_capacity(spark), geo(spark), runs(spark, 1))
     own, w1, w2 = dt.datetime(2026, 1, 1), *WEEKS
     assert rows(out, "courier", "postal_code", "capacity", "peak_capacity", "from_ts", "is_default") == sorted([
         ("K", "1", 7, 7, own, True),
@@ -46,13 +46,28 @@ def test_assignment_cases(spark, rows):
         ("K", "9", 1, 2, own, True),
         ("X", "1", 7, 9, own, True),
     ], key=lambda r: [(v is None, str(v)) for v in r])
-    outputs = capacity.capacity_outputs(out, 4, "2026-02-10")
+    outputs = capacity.capacity_outputs(out, "2026-02-10")
     assert outputs["table"].count() == 11 and outputs["modified"].count() == 3
-    assert {r.run_id for r in outputs["table"].collect()} == {4}
+    assert {r.run_id for r in outputs["table"].collect()} == {1}
+
+
+def runs(spark, *ids, month="2026-06", kind="BAU", run_type="Manuale"):
+    data = [(i, "r", None, None, None, None, month, kind, run_type) for i in ids]
+    return spark.createDataFrame(data, schemas.RUNS)
+
+
+def test_each_run_is_assigned_on_its_own(spark, rows):
+    """Province A is all default in run 1 and all peak in run 2: mixed in neither."""
+    one = run_capacity(spark).filter("province = 'A'")
+    both = one.unionByName(one.withColumns({"run_id": F.lit(2), "is_default": F.lit(False)}))
+    place = postal(spark).filter("courier = 'K' and postal_code = '1'")
+    out = capacity.assign_capacity(place, both, geo(spark), runs(spark, 1, 2, 3))
+    assert rows(out, "run_id", "capacity", "peak_capacity", "is_default") == [
+        (1, 7, 7, True), (2, 9, 9, False), (3, 7, 9, True)]
 
 
 def test_uncovered(spark, rows):
-    out = capacity.uncovered_capacity(postal(spark), run_capacity(spark), geo(spark))
+    out = capacity.uncovered_capacity(postal(spark), run_capacity(spark), geo(spark), runs(spark, 1))
     assert rows(out, "courier", "postal_code") == [("K", "5"), ("K", "9"), ("X", "1")]
 
 
@@ -101,9 +116,10 @@ def test_used_capacity_weeks(spark, rows):
 def test_recording_replaces_open_rows_of_manual_runs(spark, rows):
     old = run_capacity(spark).withColumn("to_ts", F.when(F.col("province") != "A", F.col("to_ts")))
     new = used(spark, mondays(7), "Manuale")
-    out = capacity.record_used_capacity(old, new, 1, "Manuale")
+    out = capacity.record_used_capacity(old, new, runs(spark, 1))
     assert out.count() == 6 + 2
-    assert capacity.record_used_capacity(old, new, 1, "Automatizzata").count() == 8 + 2
+    automated = runs(spark, 1, run_type="Automatizzata")
+    assert capacity.record_used_capacity(old, new, automated).count() == 8 + 2
 
 
 def test_sheet_months(spark, rows):
@@ -128,6 +144,7 @@ def test_rs_capacity(spark, rows):
         [row(1, False, True), row(8, False, True), row(8, True, True), row(8, False, False), row(15, False, True)],
         schemas.DECLARED_CAPACITY)
     for kind, value, flag in [("BAU", 3, True), ("Combinata", 3, True), ("Picco", 5, False)]:
-        out = capacity.rs_capacity(declared, kind, "2026-06-01", "2026-06")
-        assert rows(out, "from_ts", "to_ts", "capacity", "is_default") == [
-            (dt.datetime(2026, 6, 8), None, value, flag)]
+        out = capacity.rs_capacity(declared, runs(spark, 5, kind=kind), "2026-06-01")
+        assert rows(out, "run_id", "from_ts", "to_ts", "capacity", "is_default") == [
+            (5, dt.datetime(2026, 6, 8), None, value, flag)]
+    assert capacity.rs_capacity(declared, runs(spark, 5, month="2026-07"), "2026-06-01").count() == 0

@@ -16,15 +16,18 @@ def test_half_even_matches_python(spark):
         assert r.r == int(round(r.v, 0))
 
 
-def test_floors_and_chunks(spark):
+def test_floors(spark):
     r = one(
         spark,
         a=fn.pct_floor(F.lit(99), 50),
         b=fn.pct_floor(F.lit(-1), 20),
-        c=fn.chunk_count(F.lit(20001), 10000),
-        d=fn.remainder(F.lit(2.25)),
     )
-    assert tuple(r) == (1, -1, 3, 0.25)
+    assert tuple(r) == (1, -1)
+
+
+def test_hour_to_zero_keeps_the_rest_whatever_its_length(spark):
+    text = "2026-01-02T10:30:00." + "0" * 200 + "Z"
+    assert one(spark, a=fn.hour_to_zero(F.lit(text))).a == text.replace("T10:", "T00:")
 
 
 def test_keys_skip_nulls_but_labels_do_not(spark):

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from mailgrid import schemas
 from mailgrid.plans import overrides
 
@@ -39,8 +41,6 @@ def test_load(spark, rows):
 
 
 def test_tails(spark, rows):
-    from pyspark.sql import functions as F
-
     for kind, first, flag in [("BAU", 51, True), ("Combinata", 41, True), ("Picco", 51, False)]:
         out = overrides.append_tails(load(spark, DOC), F.lit(kind), NOW)
         assert out.count() == 3
@@ -50,8 +50,6 @@ def test_tails(spark, rows):
 
 
 def test_apply(spark, rows):
-    from pyspark.sql import functions as F
-
     def stored(run, courier, province, start, end, capacity):
         start = dt.datetime.fromisoformat(start)
         end = end and dt.datetime.fromisoformat(end)
@@ -80,9 +78,34 @@ def test_apply(spark, rows):
 
 
 def test_last_typed_row_of_a_key_counts(spark, rows):
-    from pyspark.sql import functions as F
-
     doc = {"K": [typed("AQ", "02/02/2026", 1, 1, 1), typed("AQ", "02/02/2026", 2, 2, 2)]}
     empty = spark.createDataFrame([], schemas.RUN_CAPACITY)
     out = overrides.apply_overrides(empty, load(spark, doc), F.lit("BAU"), NOW).filter("to_ts is not null")
     assert rows(out, "capacity") == [(2,)]
+
+
+def test_saving_updates_inserts_and_puts_rs_rows_back(spark, rows):
+    start, end = dt.datetime(2026, 2, 2), dt.datetime(2026, 2, 8)
+    table = spark.createDataFrame([
+        ("K1", start, end, 10, 1, 2, "R", "AQ", True, True, start, True, 1),
+        ("K9", start, None, 8, 0, 0, None, "AQ", False, False, start, True, 1),
+        ("K1", start, end, 20, 1, 2, "R", "AQ", True, True, start, True, 7),
+    ], schemas.RUN_CAPACITY)
+    declared = spark.createDataFrame(
+        [(3, "AQ", "t", False, False, True, "t", "K9", start, 5, start, None, "pk", 4, start)],
+        schemas.DECLARED_CAPACITY)
+    runs = spark.createDataFrame(
+        [(i, "r", None, None, None, None, "2026-02", kind, "Manuale") for i, kind in [(1, "Picco"), (2, "BAU"), (7, "BAU")]],
+        schemas.RUNS)
+    doc = {"K1": [typed("AQ", "02/02/2026", 60, 50, 40)]}
+    both = load(spark, doc).unionByName(load(spark, doc).withColumn("run_id", F.lit(2)))
+    out = overrides.save_run_capacity(table, both, declared, runs, NOW)
+    assert rows(out, "run_id", "courier", "from_ts", "to_ts", "capacity", "p890", "is_default") == sorted([
+        (1, "K1", start, end, 60, True, True),
+        (1, "K1", dt.datetime(2026, 2, 9), None, 50, True, False),
+        (1, "K9", start, None, 5, False, False),
+        (2, "K1", start, dt.datetime(2026, 2, 8, 23, 59, 59), 60, True, True),
+        (2, "K1", dt.datetime(2026, 2, 9), None, 50, True, True),
+        (2, "K9", start, None, 3, False, True),
+        (7, "K1", start, end, 20, True, True),
+    ], key=lambda r: [(v is None, str(v)) for v in r])

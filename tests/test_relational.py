@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,28 +48,26 @@ def test_classify_flags(spark, rows):
         ("f", "none"), ("m", "mixed"), ("n", "mixed"), ("t", "all")]
 
 
-def test_rank_in_group_equals_row_number(spark):
-    rng = random.Random(1)
-    data = [(rng.choice("aab"), rng.randrange(50), i) for i in range(500)]
-    df = spark.createDataFrame(data, "k string, v int, i int")
-    order = [F.col("v"), F.col("i")]
-    ranked = rel.rank_in_group(df, ["k"], order, F.floor(F.col("v") / 7))
-    for key in "ab":
-        wanted = [i for _, i in sorted((v, i) for k, v, i in data if k == key)]
-        found = [r.i for r in ranked.filter(F.col("k") == key).orderBy("position").collect()]
-        assert found == wanted
-
-
 def test_with_row_id_is_consecutive(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
-    ids = rel.with_row_id(df, [F.col("v")], F.floor(F.col("v") / 100)).orderBy("v").collect()
+    ids = rel.with_row_id(df, ["v"]).orderBy("v").collect()
     assert [r.id for r in ids] == list(range(1, 1001))
+    assert rel.with_row_id(df.limit(0), ["v"]).count() == 0
+
+
+def test_with_row_id_of_equal_values_is_spread(spark):
+    df = spark.range(4000).select(F.lit(1).alias("v"), "id")
+    out = rel.with_row_id(df, ["v", "id"], "n")
+    assert [r.n for r in out.orderBy("id").collect()] == list(range(1, 4001))
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
 
 
-def test_sum_after_week(spark, rows):
-    data = [("a", w, w) for w in range(1, 9)] + [("b", w, 10) for w in range(1, 6)] + [(None, w, 1) for w in range(7)]
-    df = spark.createDataFrame(data, "k string, week int, count_request int")
-    assert rows(rel.sum_after_week(df, ["k"], 5)) == [("a", 21), (None, 2)]
+def test_week_ordinal_is_one_window(spark, rows):
+    df = spark.createDataFrame([("a", 3, 1), ("a", 1, 1), ("b", 2, 1)], "k string, week int, count_request int")
+    out = rel.week_ordinal(df, ["k"])
+    assert rows(out, "k", "week", "week_no") == [("a", 1, 1), ("a", 3, 2), ("b", 2, 1)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
 
 
 def test_series_for_empty_list_selects_nothing(spark):

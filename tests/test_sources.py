@@ -15,21 +15,6 @@ def data_rows(path):
         return max(sum(1 for _ in f) - 1, 0)
 
 
-def test_versioned_table(spark, tmp_path):
-    base = str(tmp_path / "t")
-    with pytest.raises(ValueError):
-        tables.read_version(spark, base)
-    tables.write_version(spark.range(3), base)
-    current = tables.read_version(spark, base)
-    tables.write_version(current.unionByName(spark.range(5)), base)
-    assert tables.read_version(spark, base).count() == 8
-    assert tables.read_version(spark, base, 1).count() == 3
-    spark.range(99).write.parquet(f"{base}/version=3")  # died before its commit
-    assert tables.read_version(spark, base).count() == 8
-    assert tables.write_version(spark.range(1), base) == 3
-    assert tables.read_version(spark, base).count() == 1
-
-
 def test_read_table_pushes_the_filter_down(spark, tmp_path):
     folder = str(tmp_path)
     df = spark.range(10).select(F.col("id").cast("int").alias("run_id"), F.lit("x").alias("wide"))
@@ -46,7 +31,7 @@ def test_reload_dim(spark, tmp_path):
     path.write_text("cap,reg,prov,sigla,pop,perc\n00010,Lazio,Roma,RM,5,0.250000000\n")
     tables.reload_dim(spark, str(path), str(tmp_path), "geo", schemas.GEO)
     tables.reload_dim(spark, str(path), str(tmp_path), "geo", schemas.GEO)
-    row = tables.read_version(spark, str(tmp_path / "geo")).collect()
+    row = tables.read_table(spark, str(tmp_path), "geo").collect()
     assert len(row) == 1 and row[0].postal_code == "00010" and str(row[0].share) == "0.250000000"
 
 
@@ -60,14 +45,6 @@ def test_csv_batches_hold_at_most_max_rows(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "none")).count() == 0
 
 
-def test_single_file_only_while_small(spark, tmp_path):
-    df = spark.range(100, numPartitions=4)
-    files.write_csv_single(df, str(tmp_path / "one"))
-    files.write_csv_single(df, str(tmp_path / "many"), max_rows=10)
-    assert len(glob.glob(str(tmp_path / "one/*.csv"))) == 1
-    assert len(glob.glob(str(tmp_path / "many/*.csv"))) >= 10
-
-
 def test_capacity_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "cap")
     data = [("K", "00010", 5, 6, dt.datetime(2026, 2, 2), None, None)]
@@ -109,6 +86,9 @@ def test_latest_snapshot(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         rows_found("2026-02-19")
     assert rows_found("2026-02-19", required=False) == 0
+    files.write_snapshot(spark.range(9), base, "2026-01-21", "2026-10")
+    with pytest.raises(FileNotFoundError):  # a month is compared whole
+        files.read_latest_snapshot(spark, base, "2026-1", "2026-01-21")
     out = files.read_latest_snapshot(spark, base, "2026-02", "2026-01-20")
     assert "PartitionFilters: [" in out._jdf.queryExecution().executedPlan().toString()
 

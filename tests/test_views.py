@@ -141,5 +141,5 @@ def test_comparable_automated(spark):
         schemas.RUNS)
     found = {r.run_id: r.compare_with for r in compare.comparable_automated(runs).collect()}
     assert found == {1: 3, 2: 1, 3: None, 4: 2, 5: None, 6: 3, 7: None, 8: None}
-    assert compare.comparable_runs(runs, 1, "2026-03").count() == 6
+    assert compare.comparable_runs(runs, runs.filter("run_id = 1")).count() == 6
     assert compare.non_draft_runs(runs).count() == 7
