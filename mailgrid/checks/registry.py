@@ -401,9 +401,14 @@ ASSIGNED = """run_id, courier, postal_code, capacity, peak_capacity, cast(from_t
     cast(to_ts as varchar) as to_ts"""
 
 
+def run_ids(fx):
+    """The runs of the log, one per quarter."""
+    return [r.run_id for r in fx.runs().select("run_id").collect()]
+
+
 def assigned(fx):
     return capacity.assign_capacity(
-        fx.postal_capacity(), fx.run_capacity(), fx.geo(), fx.runs()
+        fx.postal_capacity(), fx.run_capacity(), fx.geo(), run_ids(fx)
     )
 
 
@@ -422,7 +427,7 @@ def assign_capacity(fx):
 """)
 def uncovered_capacity(fx):
     return capacity.uncovered_capacity(
-        fx.postal_capacity(), fx.run_capacity(), fx.geo(), fx.runs()
+        fx.postal_capacity(), fx.run_capacity(), fx.geo(), run_ids(fx)
     )
 
 

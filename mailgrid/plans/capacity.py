@@ -98,16 +98,17 @@ def with_province(postal_capacity, geo):
     return postal_capacity.join(geo.select("postal_code", "province"), "postal_code", "left")
 
 
-def for_each_run(postal_capacity, runs, geo):
-    """The postal capacities once for each run, which is what an assignment lists anyway."""
-    return with_province(postal_capacity, geo).crossJoin(runs.select("run_id").distinct())
+def for_each_run(postal_capacity, run_ids, geo):
+    """The postal capacities once for each of the run ids, which are a list of the caller."""
+    runs = F.explode(F.array(*[F.lit(i).cast("int") for i in run_ids]))
+    return with_province(postal_capacity, geo).withColumn("run_id", runs)
 
 
-def uncovered_capacity(postal_capacity, run_capacity, geo, runs):
-    """Postal capacities of each run whose courier and province the run does not have."""
+def uncovered_capacity(postal_capacity, run_capacity, geo, run_ids):
+    """Postal capacities of each of the runs whose courier and province the run does not have."""
     keys = ["run_id", "courier", "province"]
     pairs = run_capacity.select(*keys).distinct()
-    return hot_join(for_each_run(postal_capacity, runs, geo), pairs, keys, "left_anti")
+    return hot_join(for_each_run(postal_capacity, run_ids, geo), pairs, keys, "left_anti")
 
 
 def capacity_slots(run_capacity):
@@ -129,8 +130,8 @@ def capacity_slots(run_capacity):
     return uniform.unionByName(hot_join(weeks, mixed, pair).select(*uniform.columns))
 
 
-def assign_capacity(postal_capacity, run_capacity, geo, runs):
-    """Base or peak capacity of each postal code in each run.
+def assign_capacity(postal_capacity, run_capacity, geo, run_ids):
+    """Base or peak capacity of each postal code in each of the runs.
 
     If every week of the run's courier and province has the default capacity, the base value is
     used in both columns, and if none has, the peak value. If they differ, each postal code gets
@@ -148,7 +149,7 @@ def assign_capacity(postal_capacity, run_capacity, geo, runs):
         .otherwise((base + peak) * 0)
     )
     covered = F.col("flag_class").isNotNull()
-    each = for_each_run(postal_capacity, runs, geo)
+    each = for_each_run(postal_capacity, run_ids, geo)
     slots = capacity_slots(run_capacity)
     return hot_join(each, slots, ["run_id", "courier", "province"], "left").select(
         "run_id",

@@ -113,8 +113,7 @@ def add_second_attempt(weekly):
 def weigh(geo, weight="share"):
     """Postal codes with whole-number weights and their rank by weight inside the province.
 
-    ``share`` weighs by the nine decimals of the stored share, ``pop`` by population. A
-    province has at most the 100,000 codes of five digits, so a window over it is bounded.
+    ``share`` weighs by the nine decimals of the stored share, ``pop`` by population.
     """
     province = Window.partitionBy("province")
     if weight == "share":
@@ -144,10 +143,9 @@ def allocation_table(demand, geo, weight="share"):
     """
     total = F.col("pieces")
     reach = F.greatest(total, F.ceil(total * (F.col("filled").cast("double") / F.col("whole"))))
+    wanted = demand.select("province", "pieces").distinct()
     candidates = (
-        demand.select("province", "pieces")
-        .distinct()
-        .join(weigh(geo, weight), "province")
+        hot_join(wanted, weigh(geo, weight), ["province"])
         .filter(F.col("place") <= reach)
         .withColumn("_part", F.expr("(pieces % whole) * w"))
         .withColumn("base", F.expr("(pieces div whole) * w + _part div whole"))

@@ -34,7 +34,7 @@ def postal(spark):
 
 
 def test_assignment_cases(spark, rows):
-    out = capacity.assign_capacity(postal(spark), run_capacity(spark), geo(spark), runs(spark, 1))
+    out = capacity.assign_capacity(postal(spark), run_capacity(spark), geo(spark), [1])
     own, w1, w2 = dt.datetime(2026, 1, 1), *WEEKS
     assert rows(out, "courier", "postal_code", "capacity", "peak_capacity", "from_ts", "is_default") == sorted([
         ("K", "1", 7, 7, own, True),
@@ -61,13 +61,13 @@ def test_each_run_is_assigned_on_its_own(spark, rows):
     one = run_capacity(spark).filter("province = 'A'")
     both = one.unionByName(one.withColumns({"run_id": F.lit(2), "is_default": F.lit(False)}))
     place = postal(spark).filter("courier = 'K' and postal_code = '1'")
-    out = capacity.assign_capacity(place, both, geo(spark), runs(spark, 1, 2, 3))
+    out = capacity.assign_capacity(place, both, geo(spark), [1, 2, 3])
     assert rows(out, "run_id", "capacity", "peak_capacity", "is_default") == [
         (1, 7, 7, True), (2, 9, 9, False), (3, 7, 9, True)]
 
 
 def test_uncovered(spark, rows):
-    out = capacity.uncovered_capacity(postal(spark), run_capacity(spark), geo(spark), runs(spark, 1))
+    out = capacity.uncovered_capacity(postal(spark), run_capacity(spark), geo(spark), [1])
     assert rows(out, "courier", "postal_code") == [("K", "5"), ("K", "9"), ("X", "1")]
 
 

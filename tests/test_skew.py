@@ -77,7 +77,7 @@ def test_assignment(spark, geo):
         run_capacity = spark.createDataFrame(
             [("K", w, None, 1, 0, 0, "R", "P0", True, True, w, w == weeks[0], 1) for w in weeks],
             schemas.RUN_CAPACITY)
-        rows, split = run(capacity.assign_capacity(postal, run_capacity, geo, run_capacity))
+        rows, split = run(capacity.assign_capacity(postal, run_capacity, geo, [1]))
     hot_rows = sum(1 for i in range(60000) if i % 3 == 0 or i % 500 % 50 == 0)
     assert split and len(rows) == 60000 + hot_rows
     assert sum(r.capacity == -1 for r in rows) == hot_rows
