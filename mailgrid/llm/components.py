@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from mailgrid.llm.common import settled
 from mailgrid.operators.relational import hot_join
+from mailgrid.session import checkpointed
 
 
 def _state(edges):
@@ -18,7 +18,7 @@ def connected_components(edges):
     among smaller ones), which halves the depth of the trees; the table never has more rows
     than the edges. Minima combine before the shuffle, and a hub's rows can be split.
     """
-    edges = settled(
+    edges = checkpointed(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a <> b")
         .distinct()
@@ -35,7 +35,7 @@ def connected_components(edges):
         )
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = hot_join(large, small_low, ["a"])
-        edges = settled(
+        edges = checkpointed(
             joined.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small_low.select("a", F.col("m").alias("b")))
             .filter("a <> b")

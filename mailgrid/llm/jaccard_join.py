@@ -4,8 +4,9 @@ Texts with equal shingle sets are one node, so copies are never paired. Small se
 subsets of the fixed sizes a partner must share; large sets scan inverted lists of the first
 shingles in a global order, rare ones first, of which any partner must have one. The size at
 which the one gives way to the other comes from the counted cost of both. Lists of few sets
-give candidate pairs; sets on long lists are gathered into clusters and compared block by block
-inside tasks, so no pair of them becomes a row. Every link is verified on whole sets.
+give candidate pairs; long lists are compared inside tasks, block by block, so no pair of them
+becomes a row. Parity bitmaps drop pairs that cannot link. What is left connects small clusters,
+to which the whole sets are sent once; there every link is verified.
 """
 
 import math
@@ -16,20 +17,23 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailgrid.llm.common import settled, text_pieces
+from mailgrid.llm.common import text_pieces
 from mailgrid.llm.components import connected_components
 from mailgrid.llm.grams import LOWER, NOT_SPACE, mix, shingles, span_hashes, word_spans
 from mailgrid.operators.relational import hot_join
+from mailgrid.session import checkpointed
 
 # Slots of the shingle counts; they decide the order of shingles, never a result.
 SLOTS = 1 << 22
 PARTS = 64
 # Sets on a list that are paired directly; a longer list goes to the block comparison.
-LIGHT = 64
-# Sets of one block of a cluster.
+LIGHT = 24
+# Sets of one block of a long list or a cluster.
 BLOCK = 1000
-# Words of the parity bitmap that bounds how much two sets can share.
-BITMAP = 8
+# Shingles that are scanned together.
+WIDTH = 2048
+# Bits of the smallest parity bitmap, which bounds how much two sets can share.
+BITMAP = 512
 # Cost of checking a candidate pair, in rows of a list.
 CHECK = 4
 
@@ -73,10 +77,56 @@ def name_of(own):
 
 
 def bitmap_of(own):
-    """Parity of the set's shingles in each of 512 classes. The number of differing bits of two
-    bitmaps is at most the number of shingles that only one of the sets has."""
-    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    """Parity of the set's shingles in classes by their first bits, as bytes.
+
+    The number of differing bits of two bitmaps is at most the number of shingles that only one
+    of the sets has. A set has as many classes as shingles, at least, so that unlike sets
+    differ in more bits than similar ones may.
+    """
+    bits = BITMAP
+    while bits < len(own):
+        bits *= 2
+    place = (own >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(bitmap):
+    """The bitmap of the same set with half as many classes."""
+    pairs = np.unpackbits(bitmap).reshape(-1, 2)
+    return np.packbits(pairs[:, 0] ^ pairs[:, 1])
+
+
+class Bitmaps:
+    """Bitmaps of several sets, at every size down to the smallest."""
+
+    def __init__(self, maps, sizes, percent):
+        self.sizes, self.percent = np.asarray(sizes, np.int64), percent
+        self.own = np.array([len(m) for m in maps], np.int64)
+        found = {}
+        for i, bitmap in enumerate(maps):
+            while True:
+                found.setdefault(len(bitmap), []).append((i, bitmap))
+                if len(bitmap) * 8 <= BITMAP:
+                    break
+                bitmap = folded(bitmap)
+        self.levels = {}
+        for size, rows in found.items():
+            place = np.full(len(maps), -1)
+            place[[i for i, _ in rows]] = np.arange(len(rows))
+            self.levels[size] = place, np.stack([b for _, b in rows]).view(np.uint64)
+
+    def near(self, i, rest):
+        """Whether set i may link with each of the sets ``rest``."""
+        a, b, p = self.sizes[i], self.sizes[rest], self.percent
+        out = 100 * np.minimum(a, b) >= p * np.maximum(a, b)
+        common = np.minimum(self.own[i], self.own[rest])
+        for size in np.unique(common[out]):
+            these = np.flatnonzero(out & (common == size))
+            place, matrix = self.levels[size]
+            differ = np.bitwise_count(matrix[place[rest[these]]] ^ matrix[place[i]])
+            differ = differ.sum(1, dtype=np.int64)
+            out[these] = differ * (100 + p) <= (a + b[these]) * (100 - p)
+        return out
 
 
 def names_column(names):
@@ -142,7 +192,7 @@ def slot(h):
 
 
 def describe(texts, kind, k):
-    """Rows of two sorts: one per document (id, n, name, bitmap words b0 to b7), and the slot
+    """Rows of two sorts: one per document (id, n, name, bits), and the slot
     counts of the task (part, counts)."""
 
     def run(batches):
@@ -150,15 +200,13 @@ def describe(texts, kind, k):
         for batch in batches:
             for at, data, bounds in text_pieces(batch.column(1)):
                 sets = list(shingle_sets(data, bounds, k))
-                if any(map(len, sets)):
-                    counts += np.bincount(slot(np.concatenate(sets)), minlength=SLOTS).astype(np.uint32)
-                bits = np.array([bitmap_of(s) for s in sets]).astype(np.int64)
+                np.add.at(counts, slot(np.concatenate(sets)), 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         names_column(np.array([name_of(s) for s in sets])),
-                        *(pa.array(bits[:, i]) for i in range(BITMAP)),
+                        pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()),
                         pa.nulls(len(sets), pa.int32()),
                         pa.nulls(len(sets), pa.binary()),
                     ],
@@ -169,17 +217,16 @@ def describe(texts, kind, k):
         part, slots = slot_rows(counts)
         nothing = [
             pa.nulls(PARTS, batch_type) for batch_type in
-            (kind[1], pa.int64(), pa.binary(), *(pa.int64(),) * BITMAP)
+            (kind[1], pa.int64(), pa.binary(), pa.binary())
         ]
         yield pa.RecordBatch.from_arrays([*nothing, part, slots], FIELDS)
 
-    words = ", ".join(f"b{i} long" for i in range(BITMAP))
     return texts.mapInArrow(
-        run, f"id {kind[0]}, n long, name binary, {words}, part int, counts binary"
+        run, f"id {kind[0]}, n long, name binary, bits binary, part int, counts binary"
     )
 
 
-FIELDS = ["id", "n", "name", *(f"b{i}" for i in range(BITMAP)), "part", "counts"]
+FIELDS = ["id", "n", "name", "bits", "part", "counts"]
 
 
 def subset_keys(own, small, percent):
@@ -347,16 +394,92 @@ def lists(token, kind, n, name, percent, small):
         )
 
 
+def close_pairs(pairs, bits, percent):
+    """The pairs (a, b) whose sizes and bitmaps leave room for a link."""
+    first = bits.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    second = bits.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    both = hot_join(hot_join(pairs, first, ["a"]), second, ["b"])
+
+    def run(batches):
+        other = np.array([1])
+        for batch in batches:
+            keep = []
+            for x, y, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
+                maps = [np.frombuffer(m, np.uint8) for m in (x, y)]
+                if len(x) == len(y):
+                    differ = np.bitwise_count(maps[0] ^ maps[1]).sum(dtype=np.int64)
+                    keep.append(differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
+                else:
+                    keep.append(Bitmaps(maps, (n_a, n_b), percent).near(0, other)[0])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+
+
+def forest(n, near):
+    """Pairs of places below n that connect each component of a graph as a tree.
+    ``near(i, rest)`` tells which of the places ``rest`` are next to i."""
+    rest, out = np.arange(n), []
+    while len(rest):
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            i = stack.pop()
+            hit = near(i, rest)
+            new = rest[hit].tolist()
+            rest = rest[~hit]
+            out += [(i, j) for j in new]
+            stack += new
+    return out
+
+
+def edge_table(names, found):
+    return pa.table(
+        {"a": pa.array([names[i] for i, _ in found], pa.binary()),
+         "b": pa.array([names[j] for _, j in found], pa.binary())}
+    )
+
+
+def cells_of(groups, key, node):
+    """Rows key, node, i, j: blocks of bounded size of each group meet in pairs, so a group of
+    any size is compared whole and no task holds more than two blocks."""
+    sized = hot_join(groups, groups.groupBy(key).agg(F.count(F.lit(1)).alias("_size")), [key])
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(node), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    return sized.select(key, node, own.alias("own"), other.alias("k")).select(
+        key, node, F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")
+    )
+
+
+def long_list_edges(members, bits, percent):
+    """Edges (a, b) that connect the sets of each long list whose bitmaps are close."""
+    rows = cells_of(members, "token", "name").join(bits, "name")
+
+    def run(table):
+        names, maps = table.column("name").to_pylist(), table.column("bits").to_pylist()
+        maps = Bitmaps(
+            [np.frombuffer(m, np.uint8) for m in maps], table.column("n").to_numpy(), percent
+        )
+        return edge_table(names, forest(len(names), maps.near))
+
+    return (
+        rows.select("token", "i", "j", "name", "n", "bits")
+        .groupBy("token", "i", "j")
+        .applyInArrow(run, "a binary, b binary")
+    )
+
+
 def whole_sets(texts, k, wanted):
-    """(name, shingles as bytes) of the sets named in ``wanted``.
+    """(name, shingles as bytes) of the sets named in ``wanted``, perhaps of some others, and
+    some more than once.
 
-    A task passes on what a table of fixed size does not rule out; the join then is exact.
+    A task passes on what a table of fixed size does not rule out.
     """
 
     def mark(batches):
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            counts += np.bincount(slot(names_array(batch.column(0))[:, 0]), minlength=SLOTS).astype(np.uint32)
+            np.add.at(counts, slot(names_array(batch.column(0))[:, 0]), 1)
         if counts.any():
             yield pa.RecordBatch.from_arrays(list(slot_rows(counts)), ["part", "counts"])
 
@@ -380,93 +503,58 @@ def whole_sets(texts, k, wanted):
                         ["name", "shingles"],
                     )
 
-    rows = texts.mapInArrow(run, "name binary, shingles binary")
-    return settled(rows.join(wanted, "name", "left_semi").dropDuplicates(["name"]))
+    return texts.mapInArrow(run, "name binary, shingles binary")
 
 
 # --- links ---------------------------------------------------------------------------------
 
 
-def linked(a, b, percent):
-    if not least_size(max(len(a), len(b)), percent) <= min(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
-def verify_pairs(pairs, sets, percent):
-    """The pairs (a, b) whose sets link."""
-
-    def run(batches):
-        for batch in batches:
-            hit = [
-                linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                for x, y in zip(batch.column(2), batch.column(3))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    first = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
-    both = hot_join(hot_join(pairs, first, ["a"]), second, ["b"]).select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def block_links(names, sets, percent):
-    """Links that connect the sets of a block, each component as a tree."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    bits = np.array([bitmap_of(s) for s in sets])
-    parent = list(range(n))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for i in range(n - 1):
-        differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1, dtype=np.int64)
-        total = size[i + 1 :] + size[i]
-        close = differ * (100 + percent) <= total * (100 - percent)
-        for j in np.flatnonzero(close) + i + 1:
-            a, b = root(i), root(int(j))
-            if a != b and linked(sets[i], sets[j], percent):
-                parent[b] = a
-                out.append((names[i], names[j]))
-    return out
-
+def overlaps(sets):
+    """Number of shingles that each pair of sets shares.
 
-def compare_clusters(members, sets, percent):
-    """Links between sets on common long lists.
-
-    ``members`` are (token, name). Sets that long lists connect form a cluster, numbered by
-    name; blocks of a bounded number of sets meet in pairs, so a cluster of any size is
-    compared whole and no task holds more than two blocks.
+    Only shingles of two sets or more are scanned, a stretch of them at a time: the lists of a
+    stretch are a 0/1 matrix, whose product with itself adds up what they have in common.
     """
-    firsts = members.groupBy("token").agg(F.min("name").alias("b"))
-    edges = hot_join(members, firsts, ["token"]).select(F.col("name").alias("a"), "b")
-    clusters = settled(connected_components(edges))
-    sized = hot_join(
-        clusters, clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")), ["root"]
-    )
-    blocks = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    cells = (
-        sized.select("root", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("k"))
-        .select("root", "node", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
-    )
-    full = cells.join(sets, cells["node"] == sets["name"]).select("root", "i", "j", "name", "shingles")
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[number]
+    column, row = place[number[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(shared.sum()), WIDTH):
+        lo, hi = np.searchsorted(column, [first, first + WIDTH])
+        part = np.zeros((len(sets), WIDTH), np.float32)
+        part[row[lo:hi], column[lo:hi] - first] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def verified_links(texts, k, percent, candidates):
+    """Links between whole sets: of each component as many as connect it.
+
+    Candidate pairs and long lists make clusters, which hold every pair that may link. Each
+    set is sent to its cluster once (a large cluster is compared in blocks), not to each pair.
+    """
+    clusters = checkpointed(connected_components(candidates))
+    cells = checkpointed(cells_of(clusters, "root", "node").withColumnRenamed("node", "name"))
+    sets = whole_sets(texts, k, cells.select("name"))
 
     def run(table):
-        names = table.column("name").to_pylist()
-        own = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
-        found = block_links(names, own, percent)
-        return pa.table(
-            {"a": pa.array([f[0] for f in found], pa.binary()),
-             "b": pa.array([f[1] for f in found], pa.binary())}
-        )
+        once = dict(zip(table.column("name").to_pylist(), table.column("shingles")))
+        names = sorted(once)
+        own = [np.frombuffer(once[n].as_buffer(), np.uint64) for n in names]
+        n, shared = np.array([len(s) for s in own]), overlaps(own)
+
+        def near(i, rest):
+            both = shared[i, rest]
+            return 100 * both >= percent * (n[i] + n[rest] - both)
+
+        return edge_table(names, forest(len(own), near))
 
+    full = hot_join(sets, cells, ["name"]).select("root", "i", "j", "name", "shingles")
     return full.groupBy("root", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
@@ -482,7 +570,7 @@ def jaccard_components(docs, k=3, percent=90, key="doc_id", text="text"):
 
     own = docs.schema[key].dataType
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    described = settled(describe(texts, (own.simpleString(), to_arrow_type(own)), k))
+    described = checkpointed(describe(texts, (own.simpleString(), to_arrow_type(own)), k))
     counts = summed_slots(described.filter("part is not null").select("part", "counts"))
     described = described.filter("part is null")
     spark = docs.sparkSession
@@ -500,35 +588,16 @@ def jaccard_components(docs, k=3, percent=90, key="doc_id", text="text"):
         described.filter("n between 1 and 40").groupBy("n").count().select("n", "count").collect()
     )
     small = choose_boundary(sizes, usual, percent)
-    found = settled(
+    found = checkpointed(
         scan_lists(list_rows(texts, k, percent, small, levels), percent, small)
     )
-    bits = described.filter("n > 0").select("name", "n", *(f"b{i}" for i in range(BITMAP)))
-    bits = bits.dropDuplicates(["name"])
+    bits = described.filter("n > 0").select("name", "n", "bits").dropDuplicates(["name"])
     pairs = found.filter("token is null").select("a", "b").distinct()
-    left = bits.select(*[F.col(c).alias(f"l_{c}") for c in bits.columns])
-    right = bits.select(*[F.col(c).alias(f"r_{c}") for c in bits.columns])
-    both = hot_join(
-        hot_join(pairs, left.withColumnRenamed("l_name", "a"), ["a"]),
-        right.withColumnRenamed("r_name", "b"), ["b"],
-    )
-    differ = sum(
-        (F.bit_count(F.col(f"l_b{i}").bitwiseXOR(F.col(f"r_b{i}"))) for i in range(BITMAP)),
-        F.lit(0),
-    )
-    pairs = settled(
-        both.filter(
-            differ * (100 + percent) <= (F.col("l_n") + F.col("r_n")) * (100 - percent)
-        ).select("a", "b")
-    )
+    pairs = close_pairs(pairs, bits, percent)
     members = found.filter("token is not null").select("token", F.col("a").alias("name"))
-    wanted = settled(
-        pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
-        .unionByName(members.select("name")).distinct()
-    )
-    sets = whole_sets(texts, k, wanted)
-    links = verify_pairs(pairs, sets, percent).unionByName(compare_clusters(members, sets, percent))
-    roots = settled(connected_components(links))
+    edges = checkpointed(pairs.unionByName(long_list_edges(members, bits, percent)))
+    links = verified_links(texts, k, percent, edges)
+    roots = checkpointed(connected_components(links))
     named = hot_join(described, roots.withColumnRenamed("node", "name"), ["name"], "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root")
     )
@@ -543,7 +612,7 @@ def drop_near_duplicates(docs, k=5, percent=80, key="doc_id", text="text"):
     """The documents that stay, with all their columns: of each component the one with the
     smallest key. Documents without a key are never dropped, and rows that share a key stay or
     go together (exact repeats are for the exact dedup to drop)."""
-    judged = settled(jaccard_components(docs, k, percent, key, text))
+    judged = checkpointed(jaccard_components(docs, k, percent, key, text))
     stay = judged.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_stay"))
     gone = judged.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
     gone = gone.join(stay, F.col("_gone") == F.col("_stay"), "left_anti").distinct()
