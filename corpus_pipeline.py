@@ -5,6 +5,8 @@ each stage as Parquet into the folder all executors share and reads it again for
 so a lost executor costs no earlier stage.
 """
 
+from functools import wraps
+
 import public_tokenizers
 
 from mailgrid.llm import (
@@ -14,31 +16,45 @@ from mailgrid.llm import (
     language_id,
     sentencepiece_codec,
 )
-from mailgrid.llm.common import table
+from mailgrid.llm.common import reachable, table
 from mailgrid.session import work_folder
 
 
+def stage(build):
+    @wraps(build)
+    def run_stage(spark, docs, sf_dir):
+        reachable(spark)
+        return build(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def known_language(spark, docs, folder):
     """Drops texts without a letter and those no learned language explains."""
     return language_id.keep_known_languages(docs)
 
 
+@stage
 def exact_duplicates(spark, docs, folder):
     """Of equal texts the one with the smallest doc_id stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@stage
 def near_duplicates(spark, docs, folder):
     """Of documents that links of five-word shingles with a similarity of 0.8 or more connect,
     the one with the smallest doc_id stays."""
     return jaccard_join.drop_near_duplicates(docs, k=5, percent=80)
 
 
+@stage
 def benchmark_leaks(spark, docs, folder):
     """Drops documents that hold most of a benchmark item, in whatever order."""
     return decontaminate.drop_contaminated(docs, table(spark, folder, "benchmark"))
 
 
+@stage
 def encoded(spark, docs, folder):
     """The ids of the texts that are left."""
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,7 +77,7 @@ def run(spark, sf_dir):
     """doc_id, ids, n_ids, round_trip of the documents that all stages keep."""
     docs = table(spark, sf_dir, "documents")
     folder = work_folder(spark, "pipeline")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, build in STAGES:
+        build(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -1,27 +1,28 @@
-"""Helpers the operators share: settled tables, free column names, text batches."""
+"""Helpers the operators share: free column names, samples, text batches."""
+
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailgrid.session import work_folder
-
 
-def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def reachable(spark):
+    """Lets Python workers import this package where only the driver's own search path has it.
 
+    On a cluster the package is installed or shipped with --py-files; then nothing changes.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    own = spark.sparkContext.environment
+    if root not in known and root not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [own.get("PYTHONPATH"), root]))
 
-def settled(df):
-    """Cuts the lineage with a reliable checkpoint in the folder all executors share.
 
-    The files go when the frame is no longer referenced, if
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
-    return df.checkpoint()
+def table(spark, folder, name):
+    reachable(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def fresh(df, stem):
@@ -37,9 +38,7 @@ def key_remainder(column, n):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-
-
-def text_pieces(column, limit=1 << 21):
+def text_pieces(column, limit=1 << 19):
     """Cuts an Arrow string column into runs of whole texts of about ``limit`` bytes.
 
     Yields (first row, bytes as uint8, bounds): text i of the run lies in
@@ -67,17 +66,23 @@ def remove_folder(spark, path):
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def smallest_by_hash(keyed, key, most, groups=()):
-    """At most ``most`` keys (for each group), the first by a hash of the key: a sample whose
-    size is bounded and which does not depend on how the rows are stored."""
-    order = F.xxhash64(F.col(key).cast("string")), F.col(key)
-    if not groups:
-        return keyed.orderBy(*order).limit(most)
-    ranked = Window.partitionBy(*groups).orderBy(*order)
+def smallest_by_hash(keyed, key, group, most):
+    """A sample of at most ``most`` rows of each group, a column or a literal: the first by a
+    hash of the key, so it is bounded and does not depend on how the rows are stored.
+
+    Only rows whose hash lies so low that about twice as many are expected in the group are
+    ranked, so what meets in one task is bounded, too.
+    """
+    span = 1 << 30
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(span))
+    sizes = keyed.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
+    low = keyed.withColumn("_place", place).join(sizes, F.col(group) == F.col("_group"))
+    low = low.filter(F.col("_place") * F.col("_rows") <= F.lit(2 * most * span))
+    ranked = Window.partitionBy("_group").orderBy("_place", key)
     return (
-        keyed.withColumn("_rank", F.row_number().over(ranked))
+        low.withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") <= most)
-        .drop("_rank")
+        .drop("_place", "_group", "_rows", "_rank")
     )
 
 
@@ -90,9 +95,8 @@ def labelled_sample(docs, labels, label, key, text, learn, most):
         .groupBy(key)
         .agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     )
-    picked = smallest_by_hash(known, key, max(most), ["_label"])
-    picked = smallest_by_hash(picked.filter("_label = 0"), key, most[0]).unionByName(
-        smallest_by_hash(picked.filter("_label = 1"), key, most[1])
+    picked = smallest_by_hash(known.filter("_label = 0"), key, "_label", most[0]).unionByName(
+        smallest_by_hash(known.filter("_label = 1"), key, "_label", most[1])
     )
     # At most sum(most) rows, so a broadcast has a fixed bound.
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))

@@ -10,7 +10,8 @@ are shuffled the ordinary way; each holds less than about rows / ``tracked``.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailgrid.llm.common import fresh, settled
+from mailgrid.llm.common import fresh
+from mailgrid.session import checkpointed
 
 
 def normalized(text):
@@ -30,7 +31,7 @@ def frequent_winners(keyed, value, order, counters, tracked):
     exact = rows.groupBy(F.col("_name")).agg(
         F.count(F.lit(1)).alias("_size"), F.min(order).alias("_first")
     )
-    return settled(exact.filter("_size > 1"))
+    return checkpointed(exact.filter("_size > 1"))
 
 
 def exact_duplicates(docs, key="doc_id", text="text", counters=256, tracked=8192):
@@ -40,7 +41,7 @@ def exact_duplicates(docs, key="doc_id", text="text", counters=256, tracked=8192
     space; NULL counts as empty. Of equal texts the smallest key stays; NULL keys come last.
     Of repeated rows (same key, same text) exactly one stays. Without rows the result is empty.
     """
-    keyed = settled(
+    keyed = checkpointed(
         docs.select(
             F.col(key).alias("_id"),
             digest(F.col(text).cast("string")).alias("_digest"),

@@ -5,6 +5,8 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = {}
+# Bytes that are hashed together.
+STRETCH = 1 << 20
 
 # Bytes that separate words: space and 0x09 to 0x0D.
 NOT_SPACE = np.ones(256, bool)
@@ -65,7 +67,21 @@ def word_spans(data, bounds, inside):
 
 
 def span_hashes(data, start, end):
-    """One hash for each span of bytes; equal bytes have equal hashes."""
+    """One hash for each span of bytes; equal bytes have equal hashes.
+
+    A long text is taken in stretches, so that the tables stay small.
+    """
+    if len(data) > STRETCH and len(start) > 1:
+        order = np.argsort(start, kind="stable")
+        cuts = np.flatnonzero(np.diff(start[order] // STRETCH)) + 1
+        if len(cuts):
+            out = np.zeros(len(start), np.uint64)
+            for part in np.split(order, cuts):
+                low = start[part].min()
+                out[part] = span_hashes(
+                    data[low : end[part].max()], start[part] - low, end[part] - low
+                )
+            return out
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])

@@ -92,14 +92,14 @@ def learn_filters(docs, learn, key="doc_id", text="text", lang="lang", per_langu
     n-gram belongs to a language if it makes up at least ``least`` of the sample's n-grams, so
     a language has at most 1 / ``least`` of them.
     """
-    known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = smallest_by_hash(
-        known.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")), "_key",
-        per_language, ["_lang"],
-    ).distinct()
-    sample = docs.join(
-        F.broadcast(picked), (F.col(key) == F.col("_key")) & (F.col(lang) == F.col("_lang"))
-    ).select(F.col("_lang").cast("string"), F.col(text).cast("string"))
+    known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")
+    )
+    # At most per_language rows for each language.
+    picked = smallest_by_hash(known.select("key", "lang"), "key", "lang", per_language)
+    sample = known.join(F.broadcast(picked.distinct()), ["key", "lang"]).select(
+        F.col("lang").cast("string"), "text"
+    )
 
     def count(batches):
         for batch in batches:

@@ -15,9 +15,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mailgrid.llm.common import remove_folder, settled
+from mailgrid.llm.common import remove_folder
 from mailgrid.operators.relational import hot_join
-from mailgrid.session import work_folder
+from mailgrid.session import checkpointed, work_folder
 
 VERSION = b"WARC/1.1\r\n"
 SEGMENT = 16 * 1024
@@ -112,7 +112,7 @@ def with_roles(pages, key, html):
     """
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     sized = pages.withColumn("_payload", body).withColumn("_digest", F.sha1("_payload"))
-    many = settled(
+    many = checkpointed(
         sized.filter(F.octet_length("_payload") >= REVISIT_FROM)
         .groupBy("_digest")
         .agg(F.max(key).alias("_top"), F.count(F.lit(1)).alias("_n"))
@@ -263,7 +263,7 @@ def read_archives(spark, folder, keep_payload=True):
                         rows = []
                 yield batch_of(rows, RESULT + SEGMENTS)
 
-    parsed = settled(files.mapInArrow(parse, f"{RESULT_DDL}, {SEGMENTS_DDL}"))
+    parsed = checkpointed(files.mapInArrow(parse, f"{RESULT_DDL}, {SEGMENTS_DDL}"))
 
     def join(table):
         parts = []
@@ -298,7 +298,7 @@ def archive_round_trip(pages, key="page_id", url="url", html="html"):
     folder = work_folder(spark, "warc")
     write_archives(pages, folder, key, url, html)
     kind = pages.schema[key].dataType
-    read = settled(
+    read = checkpointed(
         read_archives(spark, folder, keep_payload=False).select(
             F.col("page").cast(kind).alias(key), "payload_bytes", "payload_digest",
             "record_type", F.col("refers").cast(kind).alias("refers_to"), "status",
