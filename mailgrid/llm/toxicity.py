@@ -202,7 +202,7 @@ class Model:
         return sigmoid(worst.astype(np.float64)), np.bincount(owner, minlength=texts)
 
 
-def fit(texts, label, epochs=12, batch=64, rate=0.01):
+def fit(texts, label, steps=600, batch=64, rate=0.01):
     """A model of the texts (list of str) and their labels (0 or 1).
 
     Without texts of both labels every score is the share of label 1, or 0.
@@ -210,13 +210,11 @@ def fit(texts, label, epochs=12, batch=64, rate=0.01):
     label = np.asarray(label, np.int64)
     net = new_network()
     column = pa.array(texts, pa.large_string())
-    parts, fold = [], np.arange(len(texts)) % FOLDS
+    fold = np.arange(len(texts)) % FOLDS
     word = np.zeros((FOLDS, 2, 1 << WORD_BITS), np.float32)
     char = np.zeros((FOLDS, 2, 1 << CHAR_BITS), np.float32)
     for at, data, bounds in text_pieces(column):
-        got = buckets(data, bounds)
-        parts.append((at, len(bounds) - 1, got))
-        words, chars, place, text, _ = got
+        words, chars, place, text, _ = buckets(data, bounds)
         for table, value, of in ((word, words, text), (char, chars, text[place])):
             one = np.unique(of * table.shape[2] + value)
             doc = one // table.shape[2] + at
@@ -234,19 +232,20 @@ def fit(texts, label, epochs=12, batch=64, rate=0.01):
         Tables(word.sum(0) - word[f], char.sum(0) - char[f], texts_of.sum(0) - texts_of[f])
         for f in range(FOLDS)
     ]
-    inputs, spans = [None] * len(texts), []
-    for at, count, (words, chars, place, text, size) in parts:
+    inputs = [None] * len(texts)
+    for at, data, bounds in text_pieces(column):
+        words, chars, place, text, size = buckets(data, bounds)
         for f in range(FOLDS):
             x = other[f].inputs(words, chars, place, size)
-            for i in range(count):
+            for i in range(len(bounds) - 1):
                 if fold[at + i] == f:
                     lo, hi = np.searchsorted(text, [i, i + 1])
-                    inputs[at + i] = x[lo:hi]
+                    inputs[at + i] = x[lo:hi].copy()
     rng = np.random.default_rng(11)
     m = {k: np.zeros_like(v) for k, v in net.items()}
     v = {k: np.zeros_like(w) for k, w in net.items()}
     n = 0
-    for _ in range(epochs):
+    while n < steps:
         for pick in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
             x = np.concatenate([inputs[i] for i in pick])
             text = np.repeat(np.arange(len(pick)), [len(inputs[i]) for i in pick])
@@ -290,7 +289,7 @@ def score_toxicity(docs, model, key="doc_id", text="text", threshold=0.7):
     def run(batches):
         own = shared.value
         for batch in batches:
-            got = [own.score(data, bounds) for _, data, bounds in text_pieces(batch.column(1), 1 << 20)]
+            got = [own.score(data, bounds) for _, data, bounds in text_pieces(batch.column(1))]
             if not got:
                 continue
             score = np.concatenate([s for s, _ in got])
