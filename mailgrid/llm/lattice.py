@@ -7,7 +7,7 @@ the last piece of the prefix before it. One such entry exists for each prefix.
 """
 
 # Prefixes a worker keeps before it starts anew; results do not depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 # Longer words are worked out without keeping their prefixes.
 LONG = 48
 

@@ -161,16 +161,15 @@ def encode_texts(docs, path, key="doc_id", text="text"):
     def run(batches):
         own = codec(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 1000):
-                part = texts[at : at + 1000]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.column(1).slice(at, 500).fill_null("").to_pylist()
                 ids = [own.encode(t) for t in part]
                 same = [own.decode(i.tolist()) == t for i, t in zip(ids, part)]
                 sizes = np.array([len(i) for i in ids], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, 1000),
+                        batch.column(0).slice(at, 500),
                         pa.ListArray.from_arrays(
                             pa.array(ends), pa.array(np.concatenate(ids), pa.int32())
                         ),

@@ -11,6 +11,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ class Remembered(dict):
     """A dictionary that computes what is missing. When it is full it becomes the older half,
     from which entries still in use come back, and a new half begins."""
 
-    def __init__(self, compute, most=400_000):
+    def __init__(self, compute, most=150_000):
         super().__init__()
         self.compute, self.most, self.older = compute, most, {}
 
@@ -167,12 +168,13 @@ def count_tokens(docs, path, key="doc_id", text="text", limit=1024):
     def run(batches):
         count = counter(path).count
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = [count(t) for t in texts]
+            texts, tokens = batch.column(1).fill_null(""), []
+            for at in range(0, len(texts), 500):
+                tokens += map(count, texts.slice(at, 500).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
+                    pc.binary_length(texts).cast(pa.int64()),
                     pa.array(tokens, pa.int64()),
                     pa.array([n > limit for n in tokens], pa.bool_()),
                 ],
