@@ -7,6 +7,7 @@ from mailgrid.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    periodic_runs,
     quality,
     sentencepiece_codec,
     token_counts,
@@ -144,3 +145,8 @@ def op6_decontamination(spark, folder):
 @query()
 def op8_jaccard_join(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), 3, 90)
+
+
+@query()
+def op11_periodic_runs(spark, folder):
+    return periodic_runs.run_digests(table(spark, folder, "documents"))
