@@ -7,6 +7,7 @@ from mailgrid.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    merkle,
     periodic_runs,
     quality,
     sentencepiece_codec,
@@ -150,3 +151,107 @@ def op8_jaccard_join(spark, folder):
 @query()
 def op11_periodic_runs(spark, folder):
     return periodic_runs.run_digests(table(spark, folder, "documents"))
+
+
+def tree_sql(name, leaves, levels):
+    """CTEs of a tree over the rows (grp, pos, h) of ``leaves``: the nodes of every level, and
+    ``<name>_path`` with the lists of digests left and right of each leaf's node per level."""
+    parts = [
+        f"{name}_0 as materialized (select grp, pos, h, count(*) over (partition by grp) as n"
+        f" from {leaves})"
+    ]
+    for k in range(levels):
+        parts.append(f"""{name}_{k + 1} as materialized (
+            select grp, pos // 16 as pos,
+                   case when any_value(n) > 1 then sha256(string_agg(h, '' order by pos))
+                        else any_value(h) end as h,
+                   (any_value(n) + 15) // 16 as n, list(h order by pos) as run,
+                   any_value(n) > 1 as real
+            from {name}_{k} group by grp, pos // 16)""")
+    joins, steps = "", []
+    for k in range(levels):
+        span = 16**k
+        joins += f""" join {name}_{k + 1} as r{k}
+            on r{k}.grp is not distinct from l.grp and r{k}.pos = l.pos // {16 * span}"""
+        place = f"(l.pos // {span}) % 16"
+        steps += [
+            f"case when r{k}.real then array_to_string(r{k}.run[1:{place}], '') end as a{k}",
+            f"case when r{k}.real then array_to_string(r{k}.run[{place} + 2:], '') end as b{k}",
+        ]
+    parts.append(
+        f"{name}_path as materialized (select l.grp, l.pos, {', '.join(steps)}"
+        f" from {name}_0 as l {joins})"
+    )
+    return ",\n".join(parts)
+
+
+def field_sql(value):
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def leaf_sql(text):
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return f"sha256({' || '.join(map(field_sql, fields))})"
+
+
+# Room for 16**6 documents of a source and 16**4 sources.
+LEAF_LEVELS, SOURCE_LEVELS = 6, 4
+# The crc32 of a text of ASCII digits, bit by bit.
+CRC_BITS = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+SMALL_LETTERS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def manifest_sql():
+    own = [(f"p.a{k}", f"p.b{k}") for k in range(LEAF_LEVELS)]
+    over = [(f"q.a{k}", f"q.b{k}") for k in range(SOURCE_LEVELS)]
+    proof = " || ".join(f"coalesce({side}, '')" for step in own + over for side in step)
+    # Each step is a column of its own, or the text would double at every level.
+    fold = ""
+    for i in range(len(own + over)):
+        fold += f""",
+            fold_{i} as materialized (
+                select * exclude (f), case when list_extract(lefts, {i + 1}) is null then f
+                    else sha256(list_extract(lefts, {i + 1}) || f || list_extract(rights, {i + 1}))
+                    end as f
+                from {'fold_' + str(i - 1) if i else 'started'})"""
+    lefts = ", ".join(left for left, _ in own + over)
+    rights = ", ".join(right for _, right in own + over)
+    return f"""
+    with crc_table as (
+        select list_transform(range(256), lambda n:
+            list_reduce(list_prepend(n, range(8)), lambda c, i: {CRC_BITS})) as crcs),
+    keyed as (
+        select doc_id as hit_id, xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(1, length(doc_id::varchar) + 1),
+                lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint)),
+            lambda c, b: xor(c >> 8, list_extract(crcs, (xor(c, b) & 255) + 1)))) % 5 = 0 as hit
+        from (select distinct doc_id from documents), crc_table),
+    rows as (
+        select d.doc_id, source as grp, {leaf_sql('text')} as h,
+               case when hit then {leaf_sql(SMALL_LETTERS)} else {leaf_sql('text')} end as f
+        from documents as d left join keyed as k on k.hit_id = d.doc_id),
+    leaves as materialized (
+        select *, row_number() over (partition by grp order by doc_id nulls first, h) - 1 as pos
+        from rows),
+    {tree_sql('low', 'leaves', LEAF_LEVELS)},
+    subroots as materialized (
+        select '' as grp, grp as source, h,
+               row_number() over (order by grp nulls first) - 1 as pos
+        from low_{LEAF_LEVELS}),
+    {tree_sql('top', 'subroots', SOURCE_LEVELS)},
+    started as materialized (
+        select l.doc_id, l.h as leaf, s.h as subroot, t.h as root, sha256({proof}) as proof_sha256,
+               [{lefts}] as lefts, [{rights}] as rights, l.f
+        from leaves as l
+        join low_path as p on p.grp is not distinct from l.grp and p.pos = l.pos
+        join subroots as s on s.source is not distinct from l.grp
+        join top_path as q on q.pos = s.pos
+        cross join top_{SOURCE_LEVELS} as t){fold}
+    select doc_id, leaf, subroot, root, proof_sha256, f as folded_root, f = root as verified
+    from fold_{LEAF_LEVELS + SOURCE_LEVELS - 1}
+    """
+
+
+@query(manifest_sql())
+def op12_merkle_manifest(spark, folder):
+    return merkle.audit(table(spark, folder, "documents"))
