@@ -5,6 +5,7 @@ import public_tokenizers
 from mailgrid.llm import (
     decontaminate,
     exact_dedup,
+    fingerprints,
     jaccard_join,
     language_id,
     merkle,
@@ -255,3 +256,8 @@ def manifest_sql():
 @query(manifest_sql())
 def op12_merkle_manifest(spark, folder):
     return merkle.audit(table(spark, folder, "documents"))
+
+
+@query()
+def op13_fingerprints(spark, folder):
+    return fingerprints.edit_likeness(table(spark, folder, "documents"))
