@@ -13,9 +13,9 @@ from mailgrid.checks.fixtures import LOAD_DAY, UPDATED, Fixtures, week_of_year
 from mailgrid.functions import calendar as cal
 from mailgrid.functions import columns as fn
 from mailgrid.operators import merge, ranking, relational
-from mailgrid.plans import capacity, compare, overrides, pieces, results, views
+from mailgrid.plans import capacity, compare, named, overrides, pieces, results, views
 from mailgrid.session import work_folder
-from mailgrid.sources import files, manifest, pages, tables
+from mailgrid.sources import files, manifest, pages, stored, tables
 
 QUERIES, PLAIN, ORACLES, SHARED_SQL = {}, {}, {}, {}
 
@@ -401,14 +401,9 @@ ASSIGNED = """run_id, courier, postal_code, capacity, peak_capacity, cast(from_t
     cast(to_ts as varchar) as to_ts"""
 
 
-def run_ids(fx):
-    """The runs of the log, one per quarter."""
-    return [r.run_id for r in fx.runs().select("run_id").collect()]
-
-
 def assigned(fx):
     return capacity.assign_capacity(
-        fx.postal_capacity(), fx.run_capacity(), fx.geo(), run_ids(fx)
+        fx.postal_capacity(), fx.run_capacity(), fx.geo(), fx.runs()
     )
 
 
@@ -427,7 +422,7 @@ def assign_capacity(fx):
 """)
 def uncovered_capacity(fx):
     return capacity.uncovered_capacity(
-        fx.postal_capacity(), fx.run_capacity(), fx.geo(), run_ids(fx)
+        fx.postal_capacity(), fx.run_capacity(), fx.geo(), fx.runs()
     )
 
 
@@ -1244,7 +1239,7 @@ def ranked_by_residuals(fx):
     from sender_results where sender in ('S1', 'S3', 'S5') and run_id % 10 = 1
 """)
 def series_for(fx):
-    first = [r.run_id for r in fx.runs().filter("run_id % 10 = 1").select("run_id").collect()]
+    first = fx.runs().filter("run_id % 10 = 1")
     return relational.series_for(fx.sender_results(), sender=["S1", "S3", "S5"], run_id=first)
 
 
@@ -1552,6 +1547,204 @@ def guarded_merge(fx):
     return merged.unionByName(merge.truncate_staging(delta))
 
 
+# --- stored tables -------------------------------------------------------------------------
+
+
+def by_month(df, date):
+    return df.withColumn("month", cal.month_key(date))
+
+
+def stored_table(fx, name, df, by):
+    """Stores a table by ``by``; returns its path and schema."""
+    path = work_folder(fx.spark, name)
+    stored.store(df, path, by)
+    return path, df.schema
+
+
+@query(merge_sql("estimates", schemas.ESTIMATE_KEYS, ESTIMATE_COLUMNS, ESTIMATES))
+def merge_staged_estimates(fx):
+    """The weekly load on stored tables: staging into months, with the staging table after it."""
+    path, schema = stored_table(fx, "estimates", by_month(fx.estimates(), "delivery_date"), "month")
+    staging = work_folder(fx.spark, "staging")
+    by_month(fx.estimates_delta(), "delivery_date").write.parquet(staging)
+    stored.merge_staged(
+        fx.spark, staging, path, schema, schemas.ESTIMATE_KEYS, "month", "empty staging table"
+    )
+    rows = stored.read_stored(fx.spark, path, schema)
+    return rows.unionByName(fx.spark.read.parquet(staging)).drop("month")
+
+
+@query(merge_sql("declared", schemas.DECLARED_KEYS, DECLARED_COLUMNS, DECLARED))
+def merge_stored_declared(fx):
+    path, schema = stored_table(fx, "declared", by_month(fx.declared(), "from_ts"), "month")
+    delta = by_month(fx.declared_delta(), "from_ts")
+    stored.upsert_stored(delta, path, schema, schemas.DECLARED_KEYS, "month")
+    return stored.read_stored(fx.spark, path, schema).drop("month")
+
+
+@query(merge_sql("run_capacity", schemas.RUN_CAPACITY_KEYS, RUN_COLUMNS, RUN_CAPACITY))
+def merge_stored_run_capacity(fx):
+    path, schema = stored_table(fx, "run-capacity", fx.run_capacity(), "run_id")
+    stored.upsert_stored(
+        fx.run_capacity_delta(), path, schema, schemas.RUN_CAPACITY_KEYS, "run_id"
+    )
+    return stored.read_stored(fx.spark, path, schema)
+
+
+@query(f"""
+    select {RUN_CAPACITY} from run_capacity where to_ts is not null
+    and run_id not in (select run_id from runs where status = 'Bozza')
+""")
+def delete_stored_runs(fx):
+    """Stored capacities without the drafts' partitions and without open-ended rows."""
+    path, schema = stored_table(fx, "run-capacity", fx.run_capacity(), "run_id")
+    stored.delete_stored(path, fx.runs().filter(F.col("status") == schemas.STATUS_DRAFT))
+    stored.drop_rows_stored(fx.spark, path, schema, F.col("to_ts").isNull(), "run_id")
+    return stored.read_stored(fx.spark, path, schema)
+
+
+SHARED_SQL["province_file"] = """
+    select run_id, is_default, courier as "unifiedDeliveryDriver", province as "geoKey", capacity,
+           capacity as "peakCapacity",
+           strftime(from_ts, '%Y-%m-%dT%H:%M:%S.000Z') as "activationDateFrom",
+           strftime(to_ts, '%Y-%m-%dT%H:%M:%S.000Z') as "activationDateTo",
+           case when p890 then '890,' else '' end || case when p_ar then 'AR,' else '' end || 'RS'
+               as products
+    from run_capacity where not (p890 is null and p_ar is null)
+"""
+
+
+@query("""
+    select * exclude (is_default), 'all' as file from province_file
+    union all
+    select * exclude (is_default), 'modified' as file from province_file where not is_default
+""")
+def province_capacity_files(fx):
+    """The files of all runs, complete and with modified capacities only, read back."""
+    found = []
+    for name in ("all", "modified"):
+        path = work_folder(fx.spark, f"province-{name}")
+        files.export_province_capacity(fx.run_capacity(), path, modified_only=name == "modified")
+        rows = files.read_province_capacity(fx.spark, path)
+        found.append(rows.withColumn("file", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
+@query("""
+    select cast(week as varchar) as week, listed, missing, missing = 0 as complete
+    from (select week, count(*) as listed,
+                 case when week = min(week) over () then 1 else 0 end as missing
+          from (select cast(date_trunc('week', week) as date) + 7 as week from allocated_rows)
+          group by 1)
+""")
+def reconcile_loaded_files(fx):
+    """A load that lost one file of the first week, checked against the files that are there."""
+    base = exported_weeks(fx)
+    listed = manifest.listed_rows(fx.spark, base)
+    lost = listed.agg(F.min_by("file", F.struct("week", "file")).alias("file"))
+    read = (
+        fx.spark.read.option("recursiveFileLookup", True)
+        .option("sep", ";")
+        .option("header", True)
+        .schema("key string, postal_code string, allocated bigint")
+        .csv(base)
+    )
+    loaded = manifest.loaded_rows(read).join(lost, "file", "left_anti")
+    found = manifest.reconcile_files(listed, loaded)
+    bad = F.count_if(F.col("status") != "loaded")
+    # A week's files differ in number from run to run; its rows and lost files do not.
+    return found.groupBy("week").agg(
+        F.sum("listed").alias("listed"),
+        F.count_if(F.col("status") == "missing").alias("missing"),
+        (bad == 0).alias("complete"),
+    )
+
+
+@query("""
+    select run_id, region, courier, peak, cast(count(*) as bigint) as series,
+           cast(count(distinct province) as bigint) as provinces
+    from (select c.run_id, c.province, c.region, c.courier,
+                 max(case when count_request >= k.capacity then 1 else 0 end) as peak
+          from courier_results c
+          left join (select run_id, courier, province, from_ts, min(capacity) as capacity
+                     from run_capacity group by 1, 2, 3, 4) k
+               on k.run_id = c.run_id and k.courier = c.courier and k.province = c.province
+               and k.from_ts = cast(c.week as timestamp)
+          where c.run_id = 19961
+          group by 1, 2, 3, 4)
+    group by 1, 2, 3, 4
+""")
+def view_by_name(fx):
+    """SQL on a registered view; the run id reaches the scans."""
+    named.register_views({name: getattr(fx, name)() for name in named.TABLES})
+    return fx.spark.sql("""
+        select run_id, region, courier, peak, count(*) as series,
+               count(distinct province) as provinces
+        from peak_table where run_id = 19961 group by run_id, region, courier, peak
+    """)
+
+
+@query("""
+    select 'item' as kind, sender, province, product, cast(monthly as double) as monthly,
+           cast(null as varchar) as reason
+    from estimates where month(delivery_date) % 4 > 2
+    union all
+    select 'rejected', sender, province, product, null,
+           case month(delivery_date) % 4 when 0 then 'malformed' when 1 then 'malformed'
+                else 'no items' end
+    from estimates where month(delivery_date) % 4 <= 2
+""")
+def damaged_pages(fx):
+    """Pages with cut bodies, values of a wrong type and without items: good items and rejected
+    pages side by side."""
+    case = F.month("delivery_date") % 4
+    item = F.struct("product", F.col("monthly").cast("double").alias("monthly"))
+    whole = F.to_json(F.struct(F.array(item).alias("items")))
+    wrong = F.to_json(F.struct(F.array(F.struct(F.array("product").alias("monthly"))).alias("items")))
+    body = (
+        F.when(case == 0, F.substring(whole, 1, 20))
+        .when(case == 1, wrong)
+        .when(case == 2, F.lit("{}"))
+        .otherwise(whole)
+    )
+    landed = fx.estimates().select(
+        "sender", "province", F.col("product").alias("asked"), body.alias("body")
+    )
+    schema, keep = "product string, monthly double", ["sender", "province", "asked"]
+    items, rejected = pages.split_pages(landed, schema, keep=keep)
+    good = items.select(
+        F.lit("item").alias("kind"), "sender", "province", "product", "monthly",
+        F.lit(None).cast("string").alias("reason"),
+    )
+    bad = rejected.select(
+        F.lit("rejected").alias("kind"), "sender", "province", F.col("asked").alias("product"),
+        F.lit(None).cast("double").alias("monthly"), "reason",
+    )
+    return good.unionByName(bad)
+
+
+@query("""
+    select sender, province, product, workflow_step, cast(week as varchar) as week,
+           count(*) as pieces, count(distinct request_id) as ids
+    from (
+        select key || '~' || cast(week as varchar) || '~' || attempt || '~' || postal_code || '~'
+                   || n as request_id, sender, province, product,
+               'EVALUATE_SENDER_LIMIT' as workflow_step, week
+        from (select *, unnest(generate_series(1, allocated)) as n from allocated_rows)
+        union all
+        select request_id, sender, province, product, step, week from pieces
+        where step = 'EVALUATE_SENDER_LIMIT')
+    group by 1, 2, 3, 4, 5
+""")
+def pieces_with_residuals(fx):
+    """The next export: new pieces and those the planner left over."""
+    left = pieces.residual_pieces(fx.pieces())
+    exported = pieces.explode_pieces(allocation(fx), left)
+    return exported.groupBy("sender", "province", "product", "workflow_step", "week").agg(
+        F.count(F.lit(1)).alias("pieces"), F.count_distinct("request_id").alias("ids")
+    )
+
+
 @query("""
     select cast(cast(date_trunc('week', week) as date) + 7 as varchar) as extract_date,
            strftime(week, '%Y-%m') as month, count(*) as rows_

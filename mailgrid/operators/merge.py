@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from mailgrid import schemas
 from mailgrid.operators.relational import (
+    counted_rows,
     dedup_latest,
     hot_join,
     matched_keys,
     new_keys,
-    require_rows,
 )
 
 
@@ -61,8 +61,8 @@ def merge_run_capacity(target, delta):
 
 
 def guarded_merge(target, delta, keys, message):
-    """The upsert of a weekly load: an empty delta is an error."""
-    return merge_upsert(target, require_rows(delta, message), keys)
+    """The upsert of a weekly load: an empty delta is an error. The delta's plan runs once."""
+    return merge_upsert(target, counted_rows(delta, message), keys)
 
 
 def dedup_declared(declared):
@@ -87,7 +87,8 @@ def drop_open_ended(run_capacity, run_id=None):
 
 
 def truncate_staging(df):
-    """The empty table that replaces a staging table once it is merged."""
+    """The empty frame that replaces a staging frame once it is merged; a stored staging table
+    is emptied by ``sources.stored.clear_staging``."""
     return df.filter(F.lit(False))
 
 

@@ -8,7 +8,7 @@ window that would hold the whole group.
 
 from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,18 +16,24 @@ from mailgrid.functions.columns import as_col
 from mailgrid.session import checkpointed
 
 
-def hot_join(left, right, keys, how="inner"):
+def hot_join(left, right, keys, how="inner", nulls=False):
     """Equi-join in which AQE can split the left rows of a frequent key.
 
     AQE only splits a join whose inputs both come straight from a shuffle. A right side that is
     grouped by the keys already would not be shuffled again, so the join also compares a hash of
     the keys: that makes it shuffle both sides. Small right sides are broadcast all the same.
+    With ``nulls`` a NULL key equals NULL; the keys of the left side stay.
     """
     mark = F.xxhash64(*[F.col(k) for k in keys])
-    both = left.withColumn("_hash", mark).join(
-        right.withColumn("_hash", mark), [*keys, "_hash"], how
-    )
-    return both.drop("_hash")
+    left, right = left.withColumn("_hash", mark), right.withColumn("_hash", mark)
+    if not nulls:
+        return left.join(right, [*keys, "_hash"], how).drop("_hash")
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in [*keys, "_hash"]})
+    same = F.col("_hash") == F.col("_right__hash")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    joined = left.join(renamed, same, how)
+    return joined.drop("_hash", "_right__hash", *[f"_right_{k}" for k in keys])
 
 
 # --- projections ---------------------------------------------------------------------------
@@ -50,10 +56,12 @@ def stamp(df, run_id=None, updated_at=None):
 
 
 def series_for(df, **members):
-    """Rows whose columns equal the value, or are in the list, given for each; an empty list
-    selects nothing."""
+    """Rows whose columns equal the value, are in the list, or in the frame's column of the same
+    name, given for each; an empty list or frame selects nothing."""
     for name, wanted in members.items():
-        if isinstance(wanted, (list, tuple, set)):
+        if isinstance(wanted, DataFrame):
+            df = hot_join(df, wanted.select(name).distinct(), [name], "left_semi")
+        elif isinstance(wanted, (list, tuple, set)):
             df = df.filter(F.col(name).isin(list(wanted)) if wanted else F.lit(False))
         else:
             df = df.filter(F.col(name) == wanted)
@@ -124,12 +132,25 @@ def matched_keys(target, source, keys):
 
 
 def require_rows(df, message):
-    """Fails when the frame is empty, else returns it."""
+    """Fails when the frame is empty, else returns it; for frames that are stored already."""
     if df.isEmpty():
         raise ValueError(message)
     return df
 
 
+def counted_rows(df, message):
+    """The rows, kept on storage; fails when there are none.
+
+    The rows are counted by the job that keeps them, so the frame's plan runs once, however
+    often the result is read.
+    """
+    seen = Observation()
+    kept = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    if not seen.get["rows"]:
+        raise ValueError(message)
+    return kept
+
+
 # --- group facts ---------------------------------------------------------------------------
 
 
@@ -171,25 +192,53 @@ def classify_flags(df, keys, flag="is_default", name="flag_class"):
     )
 
 
+def number_in_groups(df, keys, order, name):
+    """Adds the row's number in its group, from 1, in the given order, which must be total.
+
+    No group is held by one task: the rows are range-partitioned by keys and order and kept, so
+    a group is a stretch of one or more partitions. Only the sizes of the stretches, one row
+    per group and partition it touches, are added up and joined back by partition number.
+    NULL keys form a group of their own.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    # The upper bits of this id are the partition, the lower 33 the place in it.
+    placed = checkpointed(
+        df.repartitionByRange(tasks, *by)
+        .sortWithinPartitions(*by)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    )
+    stretches = placed.groupBy(*keys, "_part").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    )
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+        shifts = stretches.select(*keys, "_part", (before - F.col("_first") + 1).alias("_shift"))
+    else:
+        shifts = _running_shifts(stretches)
+    numbered = hot_join(placed, shifts, [*keys, "_part"], nulls=True)
+    return numbered.withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
+def _running_shifts(stretches):
+    """The shift of each partition, as a table; of the rows, one number per task is added up."""
+    shifts, total = [], 0
+    for part, first, rows in stretches.orderBy("_part").collect():
+        shifts.append((part, total - first + 1))
+        total += rows
+    return stretches.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+
+
 def with_row_id(df, order, name="id"):
     """Consecutive ids over the whole frame in the given order, which must be total.
 
-    The rows are range-partitioned by the order and kept. Only the number of rows of each
-    partition, one number per task, comes to the driver; each row then adds the rows of the
-    partitions before its own.
+    The shifts are joined by partition number, so the plan does not grow with the partitions.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    # The id's upper bits are the partition, the lower 33 the place in it.
-    placed = checkpointed(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.cast("int").alias("part")).count().orderBy("part").collect()
-    before, total = F.lit(0).cast("bigint"), 0
-    for row in sizes:
-        before = F.when(part == row["part"], F.lit(total).cast("bigint")).otherwise(before)
-        total += row["count"]
-    own = F.col("_at") - F.shiftleft(part, 33)
-    return placed.withColumn(name, before + own + 1).drop("_at")
+    return number_in_groups(df, [], [as_col(c) for c in order], name)
 
 
 def week_ordinal(results, keys, name="week_no"):

@@ -1,5 +1,6 @@
 """Courier capacities: landing, base or peak assignment, used capacity, planning sheet."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailgrid import schemas
@@ -98,17 +99,25 @@ def with_province(postal_capacity, geo):
     return postal_capacity.join(geo.select("postal_code", "province"), "postal_code", "left")
 
 
-def for_each_run(postal_capacity, run_ids, geo):
-    """The postal capacities once for each of the run ids, which are a list of the caller."""
-    runs = F.explode(F.array(*[F.lit(i).cast("int") for i in run_ids]))
-    return with_province(postal_capacity, geo).withColumn("run_id", runs)
+def pairs_of_runs(postal, runs):
+    """Each different courier and province of the postal capacities with each of the runs."""
+    if not isinstance(runs, DataFrame):
+        runs = postal.sparkSession.createDataFrame([(i,) for i in runs], "run_id int")
+    pairs = postal.select("courier", "province").distinct()
+    return pairs.crossJoin(runs.select(F.col("run_id").cast("int").alias("run_id")).distinct())
 
 
-def uncovered_capacity(postal_capacity, run_capacity, geo, run_ids):
-    """Postal capacities of each of the runs whose courier and province the run does not have."""
+def uncovered_capacity(postal_capacity, run_capacity, geo, runs):
+    """Postal capacities of each of the runs whose courier and province the run does not have.
+
+    ``runs`` is a frame with run_id, or a caller's ids. Which pairs a run lacks is found among the different pairs;
+    the postal capacities are multiplied by the runs in the last join only.
+    """
+    postal = with_province(postal_capacity, geo)
     keys = ["run_id", "courier", "province"]
-    pairs = run_capacity.select(*keys).distinct()
-    return hot_join(for_each_run(postal_capacity, run_ids, geo), pairs, keys, "left_anti")
+    lacking = hot_join(pairs_of_runs(postal, runs), run_capacity.select(*keys).distinct(), keys,
+                       "left_anti")
+    return hot_join(postal, lacking, ["courier", "province"], nulls=True)
 
 
 def capacity_slots(run_capacity):
@@ -130,16 +139,16 @@ def capacity_slots(run_capacity):
     return uniform.unionByName(hot_join(weeks, mixed, pair).select(*uniform.columns))
 
 
-def assign_capacity(postal_capacity, run_capacity, geo, run_ids):
+def assign_capacity(postal_capacity, run_capacity, geo, runs):
     """Base or peak capacity of each postal code in each of the runs.
 
     If every week of the run's courier and province has the default capacity, the base value is
     used in both columns, and if none has, the peak value. If they differ, each postal code gets
     one row per week of the run, with that week's window; a week without a flag gets 0. Pairs
-    the run does not have keep their row and count as default.
+    the run does not have keep their row and count as default. ``runs`` is a frame with run_id, or a caller's ids.
 
-    All cases are one left join with the runs' slots; a frequent courier and province of a run
-    can be split.
+    The slots of all runs are worked out for the different pairs of courier and province; one
+    join multiplies the postal capacities by them, and a frequent pair can be split.
     """
     base, peak = F.col("capacity"), F.col("peak_capacity")
     mixed = F.col("flag_class") == "mixed"
@@ -149,9 +158,12 @@ def assign_capacity(postal_capacity, run_capacity, geo, run_ids):
         .otherwise((base + peak) * 0)
     )
     covered = F.col("flag_class").isNotNull()
-    each = for_each_run(postal_capacity, run_ids, geo)
-    slots = capacity_slots(run_capacity)
-    return hot_join(each, slots, ["run_id", "courier", "province"], "left").select(
+    postal = with_province(postal_capacity, geo)
+    slots = hot_join(
+        pairs_of_runs(postal, runs), capacity_slots(run_capacity),
+        ["run_id", "courier", "province"], "left",
+    )
+    return hot_join(postal, slots, ["courier", "province"], nulls=True).select(
         "run_id",
         "courier",
         "postal_code",

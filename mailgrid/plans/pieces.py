@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 from mailgrid import schemas
 from mailgrid.functions import calendar as cal
 from mailgrid.functions import columns as fn
-from mailgrid.operators.relational import hot_join, repeat_rows
+from mailgrid.operators.relational import hot_join, number_in_groups, repeat_rows
+from mailgrid.session import checkpointed
 from mailgrid.sources.files import piece_rows, write_by_week
 
+# Units of a stored share, which has nine decimals.
+SHARE_UNITS = 1_000_000_000
+# Remainders of a demand are counted in that many buckets.
+REMAINDER_BUCKETS = 256
+
 
 def derive_rs(estimates, updated_at=None):
     """Adds an RS estimate per sender, province and month: one piece per 50 of all products."""
@@ -113,20 +119,53 @@ def add_second_attempt(weekly):
 def weigh(geo, weight="share"):
     """Postal codes with whole-number weights and their rank by weight inside the province.
 
-    ``share`` weighs by the nine decimals of the stored share, ``pop`` by population.
+    ``share`` weighs by the nine decimals of the stored share, ``pop`` by population. A province
+    may hold any part of the codes: sums combine before the shuffle, ranks are spread.
     """
-    province = Window.partitionBy("province")
-    if weight == "share":
-        value, whole = (F.col("share") * 1_000_000_000).cast("bigint"), F.lit(1_000_000_000)
-    else:
-        value, whole = F.col("pop").cast("bigint"), F.sum("pop").over(province)
+    value = F.col("pop") if weight == "pop" else F.col("share") * SHARE_UNITS
     weighed = geo.select(
-        "province", "postal_code", value.alias("w"), whole.cast("bigint").alias("whole")
+        "province", "postal_code", value.cast("bigint").alias("w")
     ).filter(F.col("w").isNotNull())
-    by_weight = province.orderBy(F.col("w").desc(), F.col("postal_code"))
-    return weighed.withColumn("place", F.row_number().over(by_weight)).withColumn(
-        "filled", F.sum("w").over(province)
+    filled = F.sum("w").cast("bigint")
+    whole = filled if weight == "pop" else F.lit(SHARE_UNITS).cast("bigint")
+    totals = weighed.groupBy("province").agg(whole.alias("whole"), filled.alias("filled"))
+    ranked = number_in_groups(
+        weighed, ["province"], [F.col("w").desc(), F.col("postal_code")], "place"
+    )
+    return hot_join(ranked, totals, ["province"])
+
+
+def remainder_winners(candidates):
+    """Whether each candidate is among the ``open`` largest remainders of its (province, pieces);
+    equal remainders go by postal code.
+
+    A selection, not a sort: remainders are counted in ``REMAINDER_BUCKETS`` buckets, the prefix
+    sums of the counts decide all buckets but the one the last winner lies in, and only that
+    bucket's codes are ranked. So no demand is held by one task, however many codes it has.
+    """
+    keys = ["province", "pieces"]
+    bucketed = candidates.withColumn(
+        "_bucket", F.expr(f"cast(rest * {REMAINDER_BUCKETS}D / whole as int)")
+    )
+    counts = bucketed.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_codes"), F.sum("base").alias("_base")
+    )
+    # At most REMAINDER_BUCKETS + 1 rows of each demand.
+    demand = Window.partitionBy(*keys)
+    larger = demand.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    left = (
+        F.col("pieces") - F.sum("_base").over(demand)
+        - F.coalesce(F.sum("_codes").over(larger), F.lit(0))
     )
+    bounds = counts.select(*keys, "_bucket", "_codes", left.alias("_left"))
+    judged = checkpointed(hot_join(bucketed, bounds, [*keys, "_bucket"]).drop("_bucket", "whole"))
+    split = (F.col("_left") > 0) & (F.col("_left") < F.col("_codes"))
+    plain = judged.filter(~split).withColumn("wins", F.col("_left") > 0)
+    ranked = number_in_groups(
+        judged.filter(split), keys, [F.col("rest").desc(), F.col("postal_code")], "_rank"
+    )
+    last = ranked.withColumn("wins", F.col("_rank") <= F.col("_left")).drop("_rank")
+    return plain.unionByName(last).drop("_left", "_codes")
 
 
 def allocation_table(demand, geo, weight="share"):
@@ -150,16 +189,11 @@ def allocation_table(demand, geo, weight="share"):
         .withColumn("_part", F.expr("(pieces % whole) * w"))
         .withColumn("base", F.expr("(pieces div whole) * w + _part div whole"))
         .withColumn("rest", F.expr("_part % whole"))
+        .select("province", "pieces", "postal_code", "whole", "base", "rest")
     )
-    group = Window.partitionBy("province", "pieces")
-    by_rest = group.orderBy(F.col("rest").desc(), F.col("postal_code"))
     return (
-        candidates.withColumn("position", F.row_number().over(by_rest))
-        .withColumn("open", F.col("pieces") - F.sum("base").over(group))
-        .withColumn(
-            "allocated",
-            F.col("base") + F.when(F.col("position") <= F.col("open"), 1).otherwise(0),
-        )
+        remainder_winners(candidates)
+        .withColumn("allocated", F.col("base") + F.col("wins").cast("int"))
         .filter(F.col("allocated") > 0)
         .select("province", "pieces", "postal_code", "allocated")
     )
@@ -185,10 +219,28 @@ def generate_allocation(estimates, geo, weight="share"):
     return allocate_largest_remainder(weekly, geo, weight)
 
 
+def residual_pieces(planned):
+    """The pieces a planner left over, as rows of the next export; they keep their ids."""
+    return planned.filter(F.col("workflow_step") == schemas.STEP_RESIDUAL).select(
+        "request_id",
+        cal.midnight("week").alias("sent_at"),
+        cal.midnight("week").alias("prepare_at"),
+        "product",
+        "sender",
+        "province",
+        "postal_code",
+        F.col("attempt").cast("int").alias("attempt"),
+        F.concat(F.lit("IUN~"), "request_id").alias("iun"),
+        "workflow_step",
+        "week",
+    )
+
+
 def explode_pieces(allocated, residuals=None):
     """One row per piece, with ids made of the allocation key and the piece's ordinal.
 
-    ``residuals`` optionally adds pieces left over from the previous month.
+    ``residuals`` optionally adds pieces left over from the previous month, see
+    ``residual_pieces``.
     """
     slim = allocated.select(
         "key", "product", "sender", "province", "postal_code", "attempt", "week", "allocated"

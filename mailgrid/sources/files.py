@@ -68,9 +68,22 @@ def province_capacity_rows(run_capacity, run_id=None, modified_only=False):
     )
 
 
-def export_province_capacity(run_capacity, path, run_id, modified_only=False):
-    rows = province_capacity_rows(run_capacity, run_id, modified_only).drop("run_id")
-    write_csv_batches(rows, path, schemas.MAX_UPLOAD_ROWS)
+def export_province_capacity(run_capacity, path, run_id=None, modified_only=False):
+    """The province-capacity file of one run, or one folder for each run."""
+    rows = province_capacity_rows(run_capacity, run_id, modified_only)
+    if run_id is None:
+        write_csv_batches(rows, path, schemas.MAX_UPLOAD_ROWS, by="run_id")
+    else:
+        write_csv_batches(rows.drop("run_id"), path, schemas.MAX_UPLOAD_ROWS)
+
+
+def read_province_capacity(spark, path):
+    """Province-capacity files read back, with the run id where they lie in folders of runs."""
+    schema = (
+        "unifiedDeliveryDriver string, geoKey string, capacity bigint, peakCapacity bigint, "
+        "activationDateFrom string, activationDateTo string, products string, run_id int"
+    )
+    return spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
 
 
 def postal_capacity_rows(assigned):

@@ -63,6 +63,49 @@ def reconcile_manifest(expected, loaded, key="file_name"):
     return sides.withColumn("status", status)
 
 
+def plain_path(column):
+    """A path without its scheme, which the sources write in different ways."""
+    return F.regexp_replace(column, "^[a-z0-9]+:/+", "/")
+
+
+def listed_rows(spark, base):
+    """Every CSV file in a week folder with its week and the rows it holds: its lines but the
+    header. Spark's readers do not list files without a byte."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .text(base)
+        .groupBy(plain_path(F.col("_metadata.file_path")).alias("file"))
+        .agg((F.count(F.lit(1)) - 1).alias("_rows"))
+    )
+    files = list_files(spark, base).select(plain_path("path").alias("file"), "week")
+    return files.join(lines, "file", "left").select(
+        "file", "week", F.coalesce("_rows", F.lit(0)).alias("listed")
+    )
+
+
+def loaded_rows(loaded):
+    """Rows loaded from each file; ``loaded`` is a frame read from files."""
+    path = plain_path(F.col("_metadata.file_path"))
+    return loaded.select(path.alias("file")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("loaded")
+    )
+
+
+def reconcile_files(listed, loaded):
+    """Every file with the rows it holds and the rows loaded from it, and its status: 'loaded',
+    'partial', 'missing', or 'unexpected' for a file that is not listed."""
+    both = listed.join(loaded, "file", "full_outer")
+    rows = F.coalesce("loaded", F.lit(0))
+    status = (
+        F.when(F.col("listed").isNull(), "unexpected")
+        .when(F.col("listed") == rows, "loaded")
+        .when(rows == 0, "missing")
+        .otherwise("partial")
+    )
+    return both.withColumn("status", status).withColumn("loaded", rows)
+
+
 def require_complete(reconciled):
     """Fails when any expected file is missing or any other one was loaded."""
     bad = (

@@ -87,3 +87,60 @@ def test_require_rows(spark):
     assert rel.require_rows(df, "no") is df
     with pytest.raises(ValueError, match="empty delta"):
         rel.require_rows(df.limit(0), "empty delta")
+
+
+def test_number_in_groups_equals_a_window(spark):
+    """One group holds most rows; NULL is a group; equal values are told apart by the id."""
+    df = spark.range(5000, numPartitions=5).select(
+        F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 10 < 9, "hot")
+        .otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"),
+        (F.col("id") % 13).alias("v"), "id")
+    out = rel.number_in_groups(df, ["g"], [F.col("v").desc(), F.col("id")], "place")
+    assert out.columns == ["g", "v", "id", "place"]
+    found = {r.id: (r.g, r.place) for r in out.collect()}
+    groups = {}
+    for i in range(5000):
+        g = None if i % 7 == 0 else "hot" if i % 10 < 9 else f"g{i % 50}"
+        groups.setdefault(g, []).append((-(i % 13), i))
+    wanted = {i: (g, n + 1) for g, ids in groups.items() for n, (_, i) in enumerate(sorted(ids))}
+    assert found == wanted
+    assert rel.number_in_groups(df.limit(0), ["g"], [F.col("id")], "n").count() == 0
+
+
+def test_no_group_is_held_by_one_task(spark):
+    df = spark.range(8000, numPartitions=4).select(F.lit("hot").alias("g"), "id")
+    out = rel.number_in_groups(df, ["g"], [F.col("id")], "place")
+    assert "Window" in out._jdf.queryExecution().optimizedPlan().toString()
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 8000
+
+
+def test_counted_rows_run_the_plan_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(10).mapInArrow(count, "id long")
+    kept = rel.counted_rows(df, "none")
+    assert kept.count() == 10 and kept.agg(F.sum("id")).first()[0] == 45
+    assert seen.value == 10
+    with pytest.raises(ValueError, match="empty delta"):
+        rel.counted_rows(df.filter("id > 10"), "empty delta")
+
+
+def test_null_safe_hot_join(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, w int")
+    got = rel.hot_join(left, right, ["k"], "left", nulls=True)
+    assert sorted(map(repr, map(tuple, got.select("k", "v", "w").collect()))) == sorted(
+        map(repr, [("a", 1, 10), (None, 2, 20), ("b", 3, None)]))
+
+
+def test_series_for_a_frame(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "run_id int, m string")
+    runs = spark.createDataFrame([(1,), (1,), (None,)], "run_id int")
+    assert [r.m for r in rel.series_for(df, run_id=runs).collect()] == ["a"]
+    assert rel.series_for(df, run_id=runs.limit(0)).count() == 0

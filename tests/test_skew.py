@@ -97,3 +97,33 @@ def test_merge_with_a_hot_target_key(spark):
     updated = sum(1 for i in range(60000) if i % 3 == 0 or i % 5000 < 3000)
     assert split and len(rows) == 60001
     assert sum(r.v == -1 for r in rows) == updated + 1
+
+
+@pytest.mark.parametrize("weights", ["equal", "different"])
+def test_one_province_with_most_codes(spark, weights):
+    """90 % of the codes lie in one province: no task may hold them, results stay exact."""
+    codes = 3000
+    share = "1e-4" if weights == "equal" else "(1 + id % 97) * 1e-6"
+    geo = spark.range(codes, numPartitions=4).selectExpr(
+        "lpad(cast(id as string), 5, '0') as postal_code", "'R' as region",
+        "if(id % 10 = 0, 'cold', 'hot') as province", "if(id % 10 = 0, 'cold', 'hot') as province_name",
+        "1 as pop", f"cast({share} as decimal(11,9)) as share")
+    wanted = [(str(n), p, n) for p in ("hot", "cold") for n in (1, 7, 250, 5000)]
+    weekly = spark.createDataFrame(wanted, "key string, province string, pieces bigint")
+    with small_partitions(spark):
+        table = pieces.allocation_table(weekly, geo)
+        got = {(r.province, r.pieces, r.postal_code): r.allocated for r in table.collect()}
+    unit = 1_000_000_000
+    for _, province, n in wanted:
+        rows = []
+        for i in range(codes):
+            if (i % 10 == 0) == (province == "cold"):
+                w = 100_000 if weights == "equal" else (1 + i % 97) * 1000
+                rows.append((f"{i:05d}", n * w // unit, n * w % unit))
+        rows.sort(key=lambda r: (-r[2], r[0]))
+        open_ = n - sum(r[1] for r in rows)
+        expected = {
+            code: base + (place < open_) for place, (code, base, _) in enumerate(rows)
+            if base + (place < open_) > 0
+        }
+        assert {c: v for (p, m, c), v in got.items() if (p, m) == (province, n)} == expected

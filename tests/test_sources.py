@@ -162,3 +162,38 @@ def test_export_pieces_by_week(spark, tmp_path):
     assert max(sizes["2026-02-09"]) <= 500
     header = open(glob.glob(f"{base}/week_label=2026-02-02/*.csv")[0]).readline()
     assert header.startswith('"requestId";"notificationSentAt"')
+
+
+def test_damaged_pages_are_handed_over(spark, rows):
+    bodies = ['{"items": [{"a": 1}, {"a": 2}]}', '{"items": [{"a": "x"}, {"a": 3}]}', "{broken",
+              "{}", None, '{"items": []}', '{"items": null}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "no int, body string")
+    items, rejected = pages.split_pages(df, "a int", keep=["no"])
+    assert rows(items, "no", "a") == [(0, 1), (0, 2)]
+    assert rows(rejected, "no", "reason") == [
+        (1, "malformed"), (2, "malformed"), (3, "no items"), (4, "no body"), (6, "no items")]
+    assert {r.no: r.body for r in rejected.collect()} == {i: bodies[i] for i in (1, 2, 3, 4, 6)}
+
+
+def test_reconcile_files_finds_lost_and_partial_ones(spark, tmp_path):
+    base = tmp_path / "in"
+    for name, n in [("2026-02-02/a.csv", 3), ("2026-02-02/b.csv", 2), ("2026-02-09/c.csv", 0)]:
+        path = base / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("k;v\n" + "".join(f"{i};{i}\n" for i in range(n)))
+    listed = manifest.listed_rows(spark, str(base))
+    read = spark.read.option("recursiveFileLookup", True).option("header", True).option("sep", ";")
+    all_rows = read.schema("k int, v int").csv(str(base))
+
+    def status(loaded):
+        found = manifest.reconcile_files(listed, manifest.loaded_rows(loaded))
+        return {r.file and r.file[-5:]: r.status for r in found.collect()}
+
+    every = {"a.csv": "loaded", "b.csv": "loaded", "c.csv": "loaded"}
+    assert status(all_rows) == every
+    assert status(all_rows.filter("k < 2")) == every | {"a.csv": "partial"}
+    lost = all_rows.filter(~F.col("_metadata.file_path").endswith("b.csv"))
+    assert status(lost) == every | {"b.csv": "missing"}
+    (tmp_path / "e.csv").write_text("k;v\n1;1\n")
+    more = read.schema("k int, v int").csv(str(tmp_path))
+    assert status(more) == every | {"e.csv": "unexpected"}
