@@ -1,80 +1,53 @@
 """Encoding with a public sentencepiece BPE model by a streaming Viterbi, and decoding.
 
-The lattice of ``lattice.py`` runs over characters: a path may pass from one piece to the next
-only if merging leaves both, which makes the one surviving path to each position the library's
-own segmentation. A piece that is still to come starts at most ``reach`` characters back, so
+The lattice of ``piece_lattice.py`` runs over characters: a path may pass from one piece to the
+next only if merging leaves both, which makes the one surviving path to each position the
+library's own segmentation. A piece that is still to come starts at most ``reach`` characters back, so
 only the paths into that window survive. Whenever all of them run through one boundary, the
 ids before it are final: they are committed and their part of the lattice is dropped. No piece
-of the model has its word mark inside, so the start of every word is such a boundary, and
-workers keep the ids of words they have met.
+of the model has its word mark inside, so all paths meet at the start of every word: there the
+stream is always flushed. What it gives between two such places depends on the word alone, so
+the different words of a slice of texts go through the stream once each, in order, so that words
+that begin alike share the paths to there; numpy gathers the ids of the texts from theirs.
+Nothing is kept between slices but which pieces get along.
 """
 
 import codecs
-import re
 from array import array
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import functions as F
 
-from mailgrid.llm.lattice import LONG, Lattice
-from mailgrid.llm.token_counts import Remembered
+from mailgrid.llm.common import reachable
+from mailgrid.llm.periodic_runs import text_slices
+from mailgrid.llm.piece_lattice import Pieces, Stream
 
 MARK = "▁"
+# Bytes of text whose different words are encoded together; a longer text is taken alone.
+TOGETHER = 1 << 23
 
-codecs.register_error("mailgrid_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
-
-
-class Stream:
-    """Feeds text of any length through the lattice, holding a bounded window of it."""
-
-    def __init__(self, lattice):
-        self.lattice = lattice
-        self.base, self.text, self.last = 0, "", [0]
-        # Room to look for a boundary again; the window itself is ``reach``.
-        self.step = max(64, 4 * lattice.reach)
-        self.due = self.step
-
-    def push(self, text):
-        """Adds text; yields the pieces that are final."""
-        for at in range(0, len(text), self.step):
-            self.text += text[at : at + self.step]
-            for end in range(len(self.last), len(self.text) + 1):
-                self.last.append(self.lattice.last_size(self.text, end, self.last))
-            if len(self.text) >= self.due:
-                yield from self.commit()
-                self.due = len(self.text) + self.step
-
-    def commit(self):
-        """Follows all surviving paths back until they meet and releases what lies before."""
-        paths = set(range(max(0, len(self.text) - self.lattice.reach), len(self.text) + 1))
-        while len(paths) > 1:
-            end = max(paths)
-            paths.remove(end)
-            paths.add(end - self.last[end])
-        meet = paths.pop()
-        if meet:
-            yield from self.path(meet)
-            # The next piece is still judged by the one before it.
-            keep = self.last[meet]
-            self.text = self.text[meet - keep :]
-            self.last = [0] + [n + 1 for n in range(keep - 1)] + self.last[meet:]
-            self.committed = keep
-
-    committed = 0
-
-    def path(self, end):
-        pieces = []
-        while end > self.committed:
-            size = self.last[end]
-            pieces.append(self.text[end - size : end])
-            end -= size
-        return reversed(pieces)
-
-    def finish(self):
-        yield from self.path(len(self.text))
+codecs.register_error("mailgrid_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
+def spread(values, sizes, which):
+    """(the values of the chosen runs, one after the other, and their sizes); run i has the
+    next ``sizes[i]`` values."""
+    begin, many = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(many)
+    place = np.arange(ends[-1] if len(ends) else 0)
+    return values[place + np.repeat(begin[which] - ends + many, many)], many
+
+
+def sums(values, sizes):
+    """Sums of the next ``sizes[i]`` values."""
+    before = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return before[ends] - before[ends - sizes]
 
 
 class Codec:
@@ -88,54 +61,108 @@ class Codec:
             n: i for i, n in enumerate(names) if i not in special and not model.is_byte(i)
         }
         ranks = {n: -model.get_score(i) for n, i in self.ids.items()}
-        self.lattice = Lattice(ranks, lambda a, b: ranks.get(a + b))
+        self.lattice = Pieces(ranks)
         if any(MARK in n.lstrip(MARK) for n in names):
             raise ValueError("a piece has the word mark inside; words are no certain boundaries")
-        lines = "" if any("\n" in n for n in self.ids) else "\n"
-        first = f"|{lines}" if lines else ""
-        self.words = re.compile(f"{MARK}+[^{MARK}{lines}]*{first}|[^{MARK}{lines}]+").findall
-        self.word_ids = Remembered(self.encode_word)
+        # A line break that no piece has ends a word, too.
+        self.by_line = not any("\n" in n for n in self.ids)
         text_of = {i: n.replace(MARK, " ").encode() for n, i in self.ids.items()}
         text_of |= {i: bytes([b]) for b, i in self.bytes.items()}
         text_of |= {i: b" \xe2\x81\x87 " if model.is_unknown(i) else b"" for i in special}
         self.texts = [text_of[i] for i in range(size)]
-
-    def piece_ids(self, piece):
-        known = self.ids.get(piece)
-        if known is not None:
-            return (known,)
-        return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def encode_word(self, word):
-        """The ids of a stretch between two certain boundaries, as int32 bytes."""
-        ids = []
-        if len(word) <= LONG:
-            self.lattice.word(word)
-            known, end, pieces = self.lattice.known, len(word), []
-            while end:
-                size = known[word[:end]] & 255
-                pieces.append(word[end - size : end])
-                end -= size
-            for piece in reversed(pieces):
-                ids.extend(self.piece_ids(piece))
+        self.raw_bytes = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.raw_sizes = np.array([len(t) for t in self.texts], np.int64)
+        # Ids of the numbered pieces, one after the other, and how many each has.
+        self.flat, self.sizes = [], []
+
+    def encode_words(self, words):
+        """(numbers, sizes): the numbers of the pieces of sorted stretches between two certain
+        boundaries, and how many each has."""
+        stream, before = Stream(self.lattice), ""
+        numbers, sizes = array("q"), array("q")
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            if not stream.rewind(shared):
+                stream, shared = Stream(self.lattice), 0
+            found = stream.push(word[shared:])
+            found += stream.finish()
+            numbers.extend(found)
+            sizes.append(len(found))
+            before = word
+        return np.frombuffer(numbers, np.int64), np.frombuffer(sizes, np.int64)
+
+    def piece_ids(self):
+        """(ids, sizes): the ids of every numbered piece; what the model lacks is its bytes."""
+        names = self.lattice.names
+        for name in names[len(self.sizes) :]:
+            own = self.ids.get(name)
+            own = [own] if own is not None else [self.bytes[b] for b in name.encode()]
+            self.flat.extend(own)
+            self.sizes.append(len(own))
+        return np.array(self.flat, np.int32), np.array(self.sizes, np.int64)
+
+    def cut(self, texts):
+        """(words, first word of each text) of Arrow strings, where each space stands for a
+        mark; a text that is not empty starts with one more."""
+        marked = pc.if_else(
+            pc.equal(pc.binary_length(texts), 0), texts,
+            pc.binary_join_element_wise(pa.scalar(""), texts, pa.scalar(" ")),
+        )
+        if marked.offset:
+            marked = pa.concat_arrays([marked, pa.array([], marked.type)])
+        _, offsets, data = marked.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[: len(marked) + 1]
+        text = np.frombuffer(data, np.uint8)[: bounds[-1]] if data else np.zeros(0, np.uint8)
+        begin = np.zeros(len(text) + 1, bool)
+        space = text == 32
+        begin[:-1] = space
+        begin[1:-1] &= ~space[:-1]
+        if self.by_line:
+            line = text == 10
+            begin[:-1] |= line
+            begin[1:] |= line
+        begin[bounds] = True
+        starts = np.flatnonzero(begin).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data)
+        return words, np.searchsorted(starts, bounds)
+
+    def encode_slice(self, texts):
+        """(ids, ends, same) of Arrow strings without NULL: text i has ids[ends[i]:ends[i + 1]],
+        and ``same[i]`` says whether decoding them gives the text back."""
+        words, first = self.cut(pc.replace_substring(texts, MARK, " "))
+        coded = words.dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        which = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        known = pc.replace_substring(coded.dictionary.take(order), " ", MARK).to_pylist()
+        numbers, pieces = self.encode_words(known)
+        ids, wide = spread(*self.piece_ids(), numbers)
+        sizes = sums(wide, pieces)
+        # Decoded bytes of the different words, beside what they were.
+        raw, long = spread(self.raw_bytes, self.raw_sizes, ids)
+        own = pc.binary_length(coded.dictionary.take(order)).to_numpy(zero_copy_only=False)
+        whole = sums(long, sizes) == own
+        text = np.frombuffer("".join(known).replace(MARK, " ").encode(), np.uint8)
+        if whole.all():
+            whole = sums(raw != text, own) == 0
         else:
-            stream = Stream(self.lattice)
-            for piece in stream.push(word):
-                ids.extend(self.piece_ids(piece))
-            for piece in stream.finish():
-                ids.extend(self.piece_ids(piece))
-        return array("i", ids).tobytes()
+            inside = np.repeat(whole, own)
+            equal = np.zeros(len(text), bool)
+            equal[inside] = raw[np.repeat(whole, sums(long, sizes))] == text[inside]
+            whole = sums(equal, own) == own
+        broken = np.concatenate([[0], np.cumsum(~whole[which])])[first]
+        marks = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        same = (np.diff(broken) == 0) & ~marks.astype(bool)
+        gathered, many = spread(ids, sizes, which)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        return gathered, ends[first], same
 
     def encode(self, text):
         """The ids of a text as an int32 array."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words = self.words(MARK + text.replace(" ", MARK))
-        known = self.word_ids
-        return np.frombuffer(
-            b"".join([known[w] if len(w) <= LONG else self.encode_word(w) for w in words]),
-            np.int32,
-        )
+        return self.encode_slice(pa.array([text], pa.string()))[0]
 
     def decode(self, ids):
         """The text of ids; broken byte sequences become replacement characters."""
@@ -155,26 +182,22 @@ def encode_texts(docs, path, key="doc_id", text="text"):
 
     NULL counts as the empty text, which has no ids. A text that holds the word mark itself
     comes back with a space there, so its round_trip is false. Repeated rows are encoded each;
-    other columns are not read. ``path`` must name the model on every executor.
+    other columns are not read. Memory is bounded by ``TOGETHER`` or the longest text. ``path``
+    must name the model on every executor.
     """
+    reachable(docs.sparkSession)
 
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.column(1).slice(at, 500).fill_null("").to_pylist()
-                ids = [own.encode(t) for t in part]
-                same = [own.decode(i.tolist()) == t for i, t in zip(ids, part)]
-                sizes = np.array([len(i) for i in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            for at, texts in text_slices(batch.column(1).fill_null(""), TOGETHER):
+                ids, ends, same = own.encode_slice(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, 500),
-                        pa.ListArray.from_arrays(
-                            pa.array(ends), pa.array(np.concatenate(ids), pa.int32())
-                        ),
-                        pa.array(sizes),
-                        pa.array(same, pa.bool_()),
+                        batch.column(0).slice(at, len(texts)),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                        pa.array(np.diff(ends)),
+                        pa.array(same),
                     ],
                     [key, "ids", "n_ids", "round_trip"],
                 )

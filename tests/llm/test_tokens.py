@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -85,10 +86,42 @@ def test_stream_holds_a_bounded_window():
         pieces += stream.push(part)
         widest = max(widest, len(stream.text))
     pieces += stream.finish()
-    assert "".join(pieces) == "internationalisation" * 200
+    assert "".join(codec.lattice.names[p] for p in pieces) == "internationalisation" * 200
     assert widest < 10 * stream.step
 
 
+def test_slices_equal_the_library(model):
+    """Different words go through the stream once, in order; texts are gathered from them."""
+    codec = sentencepiece_codec.Codec(MODEL)
+    rows = texts(400, 30, 6) + ["", " ", "\n", "a\n\n b", "unseen \U0001f9ff\u0f3a signs", "x" * 999]
+    ids, ends, same = codec.encode_slice(pa.array(rows).slice(3))
+    for i, text in enumerate(rows[3:]):
+        own = ids[ends[i] : ends[i + 1]].tolist()
+        assert own == model.encode(text)
+        assert same[i] == (model.decode(own) == text)
+
+
+def test_pairs_stay_as_plain_merging_says():
+    """The fast test of neighbours against merging their whole text."""
+    lattice = sentencepiece_codec.Codec(MODEL).lattice
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            ranks = [lattice.ranks.get(a + b) for a, b in zip(parts, parts[1:])]
+            best = min((r for r in ranks if r is not None), default=None)
+            if best is None:
+                return parts
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    random.seed(7)
+    for _ in range(4000):
+        a, b = random.choices(range(len(lattice.names)), k=2)
+        left, right = lattice.names[a], lattice.names[b]
+        assert lattice.apart(a, b) == (merged(left + right) == [left, right])
+
+
 def test_encode_rows(frame, messy, model):
     docs = frame(messy)
     got = sentencepiece_codec.encode_texts(docs, MODEL)
