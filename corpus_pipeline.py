@@ -2,7 +2,8 @@
 
 A stage is a function of (spark, docs, folder of the tables) and returns a frame. ``run`` writes
 each stage as Parquet into the folder all executors share and reads it again for the next one,
-so a lost executor costs no earlier stage.
+so a lost executor costs no earlier stage. A stage's files go once the next one is written; the
+last stage's stay, for they are the result.
 """
 
 from functools import wraps
@@ -16,7 +17,7 @@ from mailgrid.llm import (
     language_id,
     sentencepiece_codec,
 )
-from mailgrid.llm.common import reachable, table
+from mailgrid.llm.common import reachable, remove_folder, table
 from mailgrid.session import work_folder
 
 
@@ -75,9 +76,12 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """doc_id, ids, n_ids, round_trip of the documents that all stages keep."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = work_folder(spark, "pipeline")
     for name, build in STAGES:
         build(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
