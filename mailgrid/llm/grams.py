@@ -6,7 +6,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = {}
 # Bytes that are hashed together.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
+# Places of a span whose random numbers are kept; further ones are worked out.
+PLACES = 64
+_VALUES = None
 
 # Bytes that separate words: space and 0x09 to 0x0D.
 NOT_SPACE = np.ones(256, bool)
@@ -66,27 +69,60 @@ def word_spans(data, bounds, inside):
     return start, np.flatnonzero(ends) + 1, np.searchsorted(bounds, start, "right") - 1
 
 
+def byte_values():
+    """A fixed random 64-bit number for each byte at each of the first places of a span."""
+    return mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * BASE)
+
+
 def span_hashes(data, start, end):
     """One hash for each span of bytes; equal bytes have equal hashes.
 
-    A long text is taken in stretches, so that the tables stay small.
+    It is the mixed sum of random numbers, one for each place in the span and byte there, so no
+    pattern of bytes makes two spans collide. Spans are taken in stretches of bytes, so that the
+    tables stay small.
     """
-    if len(data) > STRETCH and len(start) > 1:
-        order = np.argsort(start, kind="stable")
-        cuts = np.flatnonzero(np.diff(start[order] // STRETCH)) + 1
-        if len(cuts):
-            out = np.zeros(len(start), np.uint64)
-            for part in np.split(order, cuts):
-                low = start[part].min()
-                out[part] = span_hashes(
-                    data[low : end[part].max()], start[part] - low, end[part] - low
-                )
-            return out
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64))
+    global _VALUES
+    if _VALUES is None:
+        _VALUES = byte_values()
+    size = end - start
+    out = np.zeros(len(size), np.uint64)
+    before = np.concatenate([[0], np.cumsum(size)])
+    first = 0
+    while first < len(size):
+        last = max(int(np.searchsorted(before, before[first] + STRETCH, "right")) - 1, first + 1)
+        if before[last] - before[first] > STRETCH:
+            out[first] = long_span(data, int(start[first]), int(end[first]))
+        elif before[last] > before[first]:
+            out[first:last] = short_spans(data, start[first:last], size[first:last])
+        first = last
+    return mix(out + size.astype(np.uint64))
+
+
+def place_values(data, place):
+    """The random numbers of bytes at their places."""
+    near = _VALUES[np.minimum(place, PLACES - 1) * 256 + data]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        near[far] = mix((place[far] * 256 + data[far] + 1).astype(np.uint64) * BASE)
+    return near
+
+
+def short_spans(data, start, size):
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    value = place_values(data[place + np.repeat(start, size)], place)
+    real = np.flatnonzero(size)
+    out = np.zeros(len(size), np.uint64)
+    out[real] = np.add.reduceat(value, (ends - size)[real])
+    return out
+
+
+def long_span(data, start, end):
+    total = np.uint64(0)
+    for at in range(start, end, STRETCH):
+        part = data[at : min(at + STRETCH, end)]
+        total += place_values(part, np.arange(at - start, at - start + len(part))).sum()
+    return total
 
 
 def shingles(words, owner, k):

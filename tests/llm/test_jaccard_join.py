@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from mailgrid.llm import components, jaccard_join as J
+from mailgrid.llm import components, grams, jaccard_join as J
 
 
 def plain(rows, k, percent):
@@ -113,3 +114,29 @@ def test_components_of_chains_and_hubs(spark):
     wanted = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {199: 199, 200: 199}
     assert got == wanted
     assert components.connected_components(df.filter("false")).count() == 0
+
+
+def test_words_of_a_pattern_are_told_apart(frame):
+    """A hash by powers modulo 2**64 takes these words for equal."""
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        one, two = ("".join(pair[b] for b in bits) for pair in ("ab", "ba"))
+        rows = [(1, one, None), (2, two, None), (3, one, None)]
+        got = {r["doc_id"]: r["component_id"]
+               for r in J.jaccard_components(frame(rows), 3, 90).collect()}
+        assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_hashes_of_spans_do_not_hang_on_what_is_hashed_together(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 101, 5000).astype(np.uint8)
+    start = np.arange(0, 5000, 10)
+    end = np.minimum(start + np.arange(500) % 11, 5000)
+    start, end = np.append(start, 0), np.append(end, 5000)
+    whole = grams.span_hashes(data, start, end)
+    monkeypatch.setattr(grams, "STRETCH", 64)
+    assert (grams.span_hashes(data, start, end) == whole).all()
+    texts = {}
+    for a, b, h in zip(start, end, whole):
+        texts.setdefault(data[a:b].tobytes(), set()).add(int(h))
+    assert all(len(h) == 1 for h in texts.values())
+    assert len({h for own in texts.values() for h in own}) == len(texts)
