@@ -12,7 +12,10 @@ from mailgrid.sources.files import piece_rows, write_by_week
 
 # Units of a stored share, which has nine decimals.
 SHARE_UNITS = 1_000_000_000
-# Remainders of a demand are counted in that many buckets.
+# An allocation depends on these alone.
+DEMAND = ["province", "pieces"]
+# Codes of one demand that a task sorts; remainders of larger demands are counted in buckets.
+SORTED_CODES = 4096
 REMAINDER_BUCKETS = 256
 
 
@@ -128,7 +131,9 @@ def weigh(geo, weight="share"):
     ).filter(F.col("w").isNotNull())
     filled = F.sum("w").cast("bigint")
     whole = filled if weight == "pop" else F.lit(SHARE_UNITS).cast("bigint")
-    totals = weighed.groupBy("province").agg(whole.alias("whole"), filled.alias("filled"))
+    totals = weighed.groupBy("province").agg(
+        whole.alias("whole"), filled.alias("filled"), F.count(F.lit(1)).alias("codes")
+    )
     ranked = number_in_groups(
         weighed, ["province"], [F.col("w").desc(), F.col("postal_code")], "place"
     )
@@ -136,14 +141,14 @@ def weigh(geo, weight="share"):
 
 
 def remainder_winners(candidates):
-    """Whether each candidate is among the ``open`` largest remainders of its (province, pieces);
-    equal remainders go by postal code.
+    """Whether each candidate is among the largest remainders of its (province, pieces), as many
+    as pieces are left; equal remainders go by postal code. For demands of many codes.
 
     A selection, not a sort: remainders are counted in ``REMAINDER_BUCKETS`` buckets, the prefix
     sums of the counts decide all buckets but the one the last winner lies in, and only that
     bucket's codes are ranked. So no demand is held by one task, however many codes it has.
     """
-    keys = ["province", "pieces"]
+    keys = DEMAND
     bucketed = candidates.withColumn(
         "_bucket", F.expr(f"cast(rest * {REMAINDER_BUCKETS}D / whole as int)")
     )
@@ -168,6 +173,14 @@ def remainder_winners(candidates):
     return plain.unionByName(last).drop("_left", "_codes")
 
 
+def ranked_winners(candidates):
+    """The same as ``remainder_winners`` for demands whose codes a task can sort."""
+    demand = Window.partitionBy(*DEMAND)
+    by_rest = demand.orderBy(F.col("rest").desc(), F.col("postal_code"))
+    left = F.col("pieces") - F.sum("base").over(demand)
+    return candidates.withColumn("wins", F.row_number().over(by_rest) <= left)
+
+
 def allocation_table(demand, geo, weight="share"):
     """Largest-remainder shares of each distinct (province, pieces): one row per postal code
     that gets at least one piece.
@@ -178,24 +191,32 @@ def allocation_table(demand, geo, weight="share"):
     to more, only the first T * sum / whole. The join below is limited to those.
 
     Whole multiples of the weight total are taken out first: products stay below the square of
-    the total and cannot overflow, however many pieces there are.
+    the total and cannot overflow, however many pieces there are. The winners of a demand of at
+    most ``SORTED_CODES`` codes are found by sorting them, those of larger ones by selection.
     """
     total = F.col("pieces")
     reach = F.greatest(total, F.ceil(total * (F.col("filled").cast("double") / F.col("whole"))))
-    wanted = demand.select("province", "pieces").distinct()
+    # Kept, as it is small beside the demand and read more than once.
+    wanted = checkpointed(demand.select(*DEMAND).distinct())
     candidates = (
         hot_join(wanted, weigh(geo, weight), ["province"])
-        .filter(F.col("place") <= reach)
+        .withColumn("_size", F.least(reach, F.col("codes")))
+        .filter(F.col("place") <= F.col("_size"))
         .withColumn("_part", F.expr("(pieces % whole) * w"))
         .withColumn("base", F.expr("(pieces div whole) * w + _part div whole"))
         .withColumn("rest", F.expr("_part % whole"))
-        .select("province", "pieces", "postal_code", "whole", "base", "rest")
+        .select(*DEMAND, "postal_code", "whole", "base", "rest", "_size")
+    )
+    sortable = F.col("_size") <= SORTED_CODES
+    picked = [*DEMAND, "postal_code", "base", "wins"]
+    large = remainder_winners(candidates.filter(~sortable).drop("_size"))
+    winners = ranked_winners(candidates.filter(sortable)).select(*picked).unionByName(
+        large.select(*picked)
     )
     return (
-        remainder_winners(candidates)
-        .withColumn("allocated", F.col("base") + F.col("wins").cast("int"))
+        winners.withColumn("allocated", F.col("base") + F.col("wins").cast("int"))
         .filter(F.col("allocated") > 0)
-        .select("province", "pieces", "postal_code", "allocated")
+        .select(*DEMAND, "postal_code", "allocated")
     )
 
 

@@ -100,8 +100,10 @@ def test_merge_with_a_hot_target_key(spark):
 
 
 @pytest.mark.parametrize("weights", ["equal", "different"])
-def test_one_province_with_most_codes(spark, weights):
+@pytest.mark.parametrize("sorted_codes", [100, 4096])
+def test_one_province_with_most_codes(spark, monkeypatch, weights, sorted_codes):
     """90 % of the codes lie in one province: no task may hold them, results stay exact."""
+    monkeypatch.setattr(pieces, "SORTED_CODES", sorted_codes)
     codes = 3000
     share = "1e-4" if weights == "equal" else "(1 + id % 97) * 1e-6"
     geo = spark.range(codes, numPartitions=4).selectExpr(
