@@ -8,6 +8,7 @@ segmented records are shuffled; whole ones are finished where their archive is r
 """
 
 import base64
+import datetime as dt
 import gzip
 import hashlib
 import re
@@ -26,8 +27,10 @@ CHUNK = 4096
 RECORDS = 5000
 # Payloads below this size are always written in full.
 REVISIT_FROM = 1000
-# Frequent payloads that are broadcast; with more of them the pages are shuffled by digest.
-BROADCAST_ROWS = 200_000
+# Fixed value: the profile of a revisit whose payload has the digest of the response's.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "application/http; msgtype=response"
+EPOCH = "1970-01-01T00:00:00Z"
 
 
 def cuts(data, size):
@@ -68,24 +71,36 @@ def record(headers, block):
     return b"%b%bContent-Length: %d\r\n\r\n%b\r\n\r" % (VERSION, lines, len(block), block)
 
 
-def page_records(number, page_id, url, payload, digest, refers_to):
-    """All records of a page. Header values cannot hold line breaks, so a URL is quoted."""
-    name = f"<urn:page:{'' if page_id is None else page_id}:{number}>"
-    headers = [("WARC-Record-ID", name)]
+def response_id(page_id, digest):
+    """The id of a page's response, which revisits can name without having seen it."""
+    return f"<urn:page:{page_id}:{digest}>"
+
+
+def page_records(number, page_id, url, payload, digest, refers_to, date=EPOCH):
+    """All records of a page. Header values cannot hold line breaks, so a URL is quoted.
+
+    ``number`` tells repeated rows apart: they have the same id, as they are the same record,
+    but each comes back on its own.
+    """
+    headers = [("WARC-Date", date), ("WARC-Page-Copy", number)]
     if page_id is not None:
         headers.append(("WARC-Page-ID", page_id))
     if url is not None:
         safe = "".join(c if c.isprintable() and c != " " else "%%%02X" % ord(c) for c in url)
         headers.append(("WARC-Target-URI", safe))
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
-    headers.append(("WARC-Payload-Digest", f"sha1:{sha}"))
+    headers += [("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", HTTP)]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        extra = [("WARC-Type", "revisit"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        extra = [
+            ("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:revisit:{page_id}:{number}>"),
+            ("WARC-Profile", PROFILE), ("WARC-Refers-To", response_id(refers_to, digest)),
+        ]
         return [record(extra + headers, block)]
+    name = f"<urn:page::{number}>" if page_id is None else response_id(page_id, digest)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block += b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    first = [("WARC-Type", "response"), *headers]
+    first = [("WARC-Type", "response"), ("WARC-Record-ID", name), *headers]
     if len(block) <= SEGMENT:
         return [record(first, block)]
     parts = list(cuts(block, SEGMENT))
@@ -94,6 +109,8 @@ def page_records(number, page_id, url, payload, digest, refers_to):
         extra = [
             ("WARC-Type", "continuation"),
             ("WARC-Record-ID", f"{name[:-1]}:{n}>"),
+            ("WARC-Date", date),
+            ("WARC-Page-Copy", number),
             ("WARC-Segment-Origin-ID", name),
             ("WARC-Segment-Number", n),
         ]
@@ -107,8 +124,8 @@ def with_roles(pages, key, html):
     """Adds payload digest and ``refers_to`` to the pages.
 
     Of equal payloads of at least 1000 bytes the one with the largest key is the response, the
-    others refer to it. Keys combine before the shuffle. Few repeated payloads, which is
-    checked, are broadcast; more are joined so that a frequent one can be split.
+    others refer to it. Keys combine before the shuffle, and the join can split a frequent
+    payload.
     """
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     sized = pages.withColumn("_payload", body).withColumn("_digest", F.sha1("_payload"))
@@ -119,16 +136,14 @@ def with_roles(pages, key, html):
         .filter("_n > 1")
         .drop("_n")
     )
-    if many.count() <= BROADCAST_ROWS:
-        joined = sized.join(F.broadcast(many), "_digest", "left")
-    else:
-        joined = hot_join(sized, many, ["_digest"], "left")
+    joined = hot_join(sized, many, ["_digest"], "left")
     other = F.col("_top").isNotNull() & ~F.col(key).eqNullSafe(F.col("_top"))
     return joined.withColumn("_refers", F.when(other, F.col("_top").cast("string")))
 
 
 def write_archives(pages, folder, key="page_id", url="url", html="html"):
-    """Writes one record per page into gzip archives below ``folder``."""
+    """Writes one record per page into gzip archives below ``folder``; their date is now."""
+    date = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     columns = pages.select(
         F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"),
         F.col(html).alias("_html"),
@@ -147,7 +162,7 @@ def write_archives(pages, folder, key="page_id", url="url", html="html"):
             ):
                 number += 1
                 out += page_records(
-                    f"{part}-{number}", page, address, payload.encode(), digest, refers
+                    f"{part}-{number}", page, address, payload.encode(), digest, refers, date
                 )
             yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in out], pa.string())], ["value"])
 
@@ -180,7 +195,8 @@ def parse_archive(data):
 
 
 RESULT = [
-    ("page", pa.string()), ("record_type", pa.string()), ("refers", pa.string()),
+    ("record", pa.string()), ("page", pa.string()), ("record_type", pa.string()),
+    ("refers_record", pa.string()),
     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()),
     ("payload", pa.string()),
 ]
@@ -189,39 +205,43 @@ SEGMENTS = [
     ("block", pa.binary()),
 ]
 RESULT_DDL = (
-    "page string, record_type string, refers string, payload_bytes long, payload_digest string,"
-    " status string, payload string"
+    "record string, page string, record_type string, refers_record string, payload_bytes long,"
+    " payload_digest string, status string, payload string"
 )
+SHOWN = [
+    "page", "record_type", "refers", "payload_bytes", "payload_digest", "status", "payload",
+]
 SEGMENTS_DDL = "origin string, number int, total long, block binary"
 
 
 def finished(headers, block, keep):
     """The result row of one complete record."""
     head, _, body = block.partition(b"\r\n\r\n")
-    kind = headers.get("warc-type")
     digest = headers.get("warc-payload-digest", "")
     said = base64.b32decode(digest.removeprefix("sha1:")).hex() if digest else None
-    page = headers.get("warc-page-id")
+    kind = headers.get("warc-type")
+    named = headers.get("warc-record-id"), headers.get("warc-page-id"), kind
     if kind == "revisit":
         size = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-        refers = headers.get("warc-refers-to", "").removeprefix("<urn:page:").rstrip(">")
-        return page, kind, refers, int(size[1]) if size else None, said, "ok", None
+        refers = headers.get("warc-refers-to")
+        return *named, refers, int(size[1]) if size else None, said, "ok", None
     try:
         if re.search(rb"(?im)^transfer-encoding:\s*chunked", head):
             body = unchunked(body)
     except ValueError:
-        return page, kind, None, None, None, "broken chunks", None
+        return *named, None, None, None, "broken chunks", None
     found = hashlib.sha1(body).hexdigest()
     status = "ok" if said in (None, found) else "wrong digest"
     text = body.decode("utf-8", "replace") if keep else None
-    return page, kind, None, len(body), found, status, text
+    return *named, None, len(body), found, status, text
 
 
 def reassembled(parts, keep):
     """The result row of the segments (number, total length, headers, block) of one record."""
     parts = sorted({p[0]: p for p in parts}.values())
     headers, total = parts[0][2], parts[-1][1]
-    failed = headers.get("warc-page-id"), headers.get("warc-type"), None, None, None
+    names = ("warc-record-id", "warc-page-id", "warc-type")
+    failed = *map(headers.get, names), None, None, None
     if [p[0] for p in parts] != list(range(1, len(parts) + 1)) or total is None:
         return *failed, "missing segment", None
     block = b"".join(p[3] for p in parts)
@@ -230,13 +250,30 @@ def reassembled(parts, keep):
     return finished(headers, block, keep)
 
 
+def resolved(rows, responses):
+    """The rows with ``refers``, the page of a revisit's response, found by its record id; a
+    revisit without one has the status ``no response``."""
+    heads = responses.groupBy("record").agg(F.min("page").alias("_page"))
+    heads = heads.select(F.col("record").alias("refers_record"), "_page", F.lit(True).alias("_is"))
+    found = hot_join(rows.filter("record_type = 'revisit'"), heads, ["refers_record"], "left")
+    status = F.when(F.col("_is"), F.col("status")).otherwise("no response")
+    revisits = found.withColumn("status", status).withColumn("refers", F.col("_page"))
+    others = rows.filter("record_type is distinct from 'revisit'")
+    return revisits.select(*SHOWN).unionByName(without_reference(others))
+
+
+def without_reference(rows):
+    return rows.withColumn("refers", F.lit(None).cast("string")).select(*SHOWN)
+
+
 def read_archives(spark, folder, keep_payload=True):
     """One row per record: page, record_type, refers, payload_bytes, payload_digest (hex SHA-1),
     status, payload.
 
     status is ``ok``, or ``missing segment``, ``wrong length``, ``broken chunks``, ``wrong
-    digest``; a record that cannot be put together has no payload. Segments that come twice
-    count once. A folder without archives gives no rows.
+    digest``, or ``no response`` for a revisit whose response is not there; a record that cannot
+    be put together has no payload. Segments that come twice count once. A folder without
+    archives gives no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.filter(F.col("length") > 0).select("content")
@@ -250,10 +287,12 @@ def read_archives(spark, folder, keep_payload=True):
                 for headers, block in parse_archive(data):
                     if "warc-segment-number" in headers:
                         origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
+                        origin += headers.get("warc-page-copy", "")
                         total = headers.get("warc-segment-total-length")
                         lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
                         rows.append((
-                            *(None,) * 7, origin, int(headers["warc-segment-number"]),
+                            headers["warc-record-id"], headers.get("warc-page-id"),
+                            headers.get("warc-type"), *(None,) * (len(RESULT) - 3), origin, int(headers["warc-segment-number"]),
                             int(total) if total else None, lines.encode() + b"\r\n" + block,
                         ))
                     else:
@@ -276,7 +315,10 @@ def read_archives(spark, folder, keep_payload=True):
 
     whole = parsed.filter(F.col("origin").isNull()).select(*[n for n, _ in RESULT])
     split = parsed.filter(F.col("origin").isNotNull()).select(*[n for n, _ in SEGMENTS])
-    return whole.unionByName(split.groupBy("origin").applyInArrow(join, RESULT_DDL))
+    joined = split.groupBy("origin").applyInArrow(join, RESULT_DDL)
+    # Whole records and first segments.
+    responses = parsed.filter("record_type = 'response'").select("record", "page")
+    return resolved(whole, responses).unionByName(without_reference(joined))
 
 
 def batch_of(rows, fields):

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 
 import pytest
 
@@ -91,3 +92,36 @@ def test_plain_records_too(spark, tmp_path):
     record = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], body) + b"\n"
     (row,) = read(spark, tmp_path, [record])
     assert (row["payload"], row["status"]) == ("hello", "ok")
+
+
+def test_records_have_what_the_format_demands(spark, tmp_path):
+    folder = tmp_path / "archives"
+    warc.write_archives(pages_of(spark, ROWS), str(folder))
+    kinds, ids, origins, referred = {}, [], set(), set()
+    for path in folder.glob("*.gz"):
+        for headers, block in warc.parse_archive(gzip.decompress(path.read_bytes())):
+            kind = headers["warc-type"]
+            kinds.setdefault(kind, []).append(headers)
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", headers["warc-date"])
+            assert re.fullmatch("<urn:[^<> ]+>", headers["warc-record-id"])
+            if kind == "continuation":
+                origins.add(headers["warc-segment-origin-id"])
+            else:
+                assert headers["content-type"] == "application/http; msgtype=response"
+            if kind == "revisit":
+                assert headers["warc-profile"].endswith("identical-payload-digest")
+                referred.add(headers["warc-refers-to"])
+            if kind == "response" and headers["warc-page-id" if "warc-page-id" in headers else
+                                               "warc-record-id"] not in ("6",):
+                ids.append(headers["warc-record-id"])
+    responses = {h["warc-record-id"] for h in kinds["response"]}
+    assert len(ids) == len(set(ids)) and origins <= responses
+    assert referred and referred <= responses
+    assert set(kinds) == {"response", "revisit", "continuation"}
+
+
+def test_revisit_without_its_response_is_named(spark, tmp_path):
+    digest = hashlib.sha1(b"x" * 1000).hexdigest()
+    (revisit,) = warc.page_records("0-1", 5, "u", b"x" * 1000, digest, 9)
+    (row,) = read(spark, tmp_path, [revisit + b"\n"])
+    assert (row["status"], row["refers"]) == ("no response", None)
