@@ -67,20 +67,26 @@ def remove_folder(spark, path):
 
 
 def smallest_by_hash(keyed, key, group, most):
-    """A sample of at most ``most`` rows of each group, a column or a literal: the first by a
+    """A sample of at most ``most`` keys of each group, a column or a literal: the first by a
     hash of the key, so it is bounded and does not depend on how the rows are stored.
 
-    Only rows whose hash lies so low that about twice as many are expected in the group are
-    ranked, so what meets in one task is bounded, too.
+    Only rows whose hash lies so low that about twice as many keys are expected in the group are
+    shuffled and ranked, once for each key, so what meets in one task is bounded, too. The sizes
+    of the groups are broadcast: the sample has a place for each group as well.
     """
     span = 1 << 30
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(span))
-    sizes = keyed.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
-    low = keyed.withColumn("_place", place).join(sizes, F.col(group) == F.col("_group"))
+    sizes = keyed.groupBy(F.col(group).alias("_group")).agg(
+        F.approx_count_distinct(key).alias("_rows")
+    )
+    low = keyed.withColumn("_place", place).join(
+        F.broadcast(sizes), F.col(group) == F.col("_group")
+    )
     low = low.filter(F.col("_place") * F.col("_rows") <= F.lit(2 * most * span))
     ranked = Window.partitionBy("_group").orderBy("_place", key)
     return (
-        low.withColumn("_rank", F.row_number().over(ranked))
+        low.dropDuplicates([key, "_group"])
+        .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") <= most)
         .drop("_place", "_group", "_rows", "_rank")
     )
@@ -100,6 +106,8 @@ def labelled_sample(docs, labels, label, key, text, learn, most):
     )
     # At most sum(most) rows, so a broadcast has a fixed bound.
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), F.col("_key") == F.col(key)).select(
-        F.col("_key").alias("key"), "text", F.col("_label").alias("label")
+    found = texts.join(F.broadcast(picked), F.col("_key") == F.col(key))
+    # A key that comes with several texts counts once, with the least of them.
+    return found.groupBy(F.col("_key").alias("key")).agg(
+        F.min("text").alias("text"), F.max("_label").alias("label")
     )

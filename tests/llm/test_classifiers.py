@@ -5,8 +5,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from mailgrid.llm import quality, toxicity
+from mailgrid.llm import common, quality, toxicity
 from mailgrid.llm.common import text_pieces
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "theta", "kappa", "zeta", "été"]
@@ -147,3 +148,53 @@ def test_scores_do_not_depend_on_the_batch():
     for n, text in enumerate(texts):
         (_, own, b), = text_pieces(pa.array([text], pa.string()))
         assert abs(model.score(own, b)[0][0] - together[n]) < 1e-5
+
+
+def test_samples_stay_bounded_when_a_key_repeats(spark):
+    rows = spark.range(100_000, numPartitions=4).selectExpr(
+        "if(id % 3 = 0, 7, id) as doc_id", "concat('text ', id % 5) as text",
+        "cast(id % 2 as int) as toxic")
+    keyed = common.smallest_by_hash(rows.filter("doc_id < 50000"), "doc_id", "toxic", 50)
+    counts = {r["toxic"]: r["count"] for r in keyed.groupBy("toxic").count().collect()}
+    assert counts == {0: 50, 1: 50}
+    labels = rows.select("doc_id", "toxic").distinct()
+    got = common.labelled_sample(
+        rows, labels, "toxic", "doc_id", "text", F.lit(True), (30, 20)).collect()
+    assert len(got) == len({r["key"] for r in got}) == 50
+    assert sum(r["label"] for r in got) == 20
+
+
+def plain_logit(net, x):
+    """The network, word by word."""
+    hidden = net["Uf"].shape[0]
+
+    def gru(way, order):
+        h, out = np.zeros(hidden), [None] * len(x)
+        for t in order:
+            gates, rec = x[t] @ net["W" + way], h @ net["U" + way]
+            z = 1 / (1 + np.exp(-(gates[:hidden] + rec[:hidden])))
+            r = 1 / (1 + np.exp(-(gates[hidden : 2 * hidden] + rec[hidden : 2 * hidden])))
+            c = np.tanh(gates[2 * hidden :] + r * rec[2 * hidden :])
+            h = out[t] = (1 - z) * c + z * h
+        return out
+
+    ahead, back = gru("f", range(len(x))), gru("b", range(len(x) - 1, -1, -1))
+    both = [np.concatenate(p) for p in zip(ahead, back)]
+    weight = np.exp([np.tanh(h @ net["A"]) @ net["v"] for h in both])
+    pooled = sum(w * h for w, h in zip(weight / weight.sum(), both))
+    return float((pooled @ net["w"] + net["b"])[0])
+
+
+def test_scores_equal_a_plain_network():
+    texts = ["you " * 50 + "zorgling fool " * 3 + "and more " * 20, "a b c", "x"]
+    model = toxicity.fit(texts * 8, [1, 0, 0] * 8, steps=24)
+    (_, data, bounds), = text_pieces(pa.array(texts, pa.string()))
+    got = model.score(data, bounds)[0]
+    for n, text in enumerate(texts):
+        (_, own, b), = text_pieces(pa.array([text], pa.string()))
+        words, chars, place, _, size = toxicity.buckets(own, b)
+        x = model.tables.inputs(words, chars, place, size)
+        starts = range(0, max(1, -(-(len(x) - toxicity.WINDOW) // toxicity.STRIDE) * toxicity.STRIDE + 1),
+                       toxicity.STRIDE)
+        worst = max(plain_logit(model.net, x[s : s + toxicity.WINDOW]) for s in starts)
+        assert abs(1 / (1 + np.exp(-worst)) - got[n]) < 1e-4

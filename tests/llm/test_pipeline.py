@@ -32,7 +32,7 @@ def test_query_matches_sql(spark, testdata, database, name):
 def test_every_operator_has_a_query():
     found = [re.match(r"op(\d+)_", n) for n in contract.queries()]
     names = sorted(int(m[1]) for m in found if m)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert contract.queries()["pipeline"] is corpus_pipeline.run
 
 
