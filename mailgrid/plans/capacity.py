@@ -13,6 +13,7 @@ from mailgrid.operators.relational import (
     count_over_group,
     hot_join,
     max_over_group,
+    spread_rows,
     stamp,
 )
 
@@ -113,11 +114,11 @@ def uncovered_capacity(postal_capacity, run_capacity, geo, runs):
     ``runs`` is a frame with run_id, or a caller's ids. Which pairs a run lacks is found among the different pairs;
     the postal capacities are multiplied by the runs in the last join only.
     """
-    postal = with_province(postal_capacity, geo)
+    postal = spread_rows(with_province(postal_capacity, geo))
     keys = ["run_id", "courier", "province"]
     lacking = hot_join(pairs_of_runs(postal, runs), run_capacity.select(*keys).distinct(), keys,
                        "left_anti")
-    return hot_join(postal, lacking, ["courier", "province"], nulls=True)
+    return hot_join(postal, spread_rows(lacking), ["courier", "province"], nulls=True)
 
 
 def capacity_slots(run_capacity):
@@ -148,7 +149,8 @@ def assign_capacity(postal_capacity, run_capacity, geo, runs):
     the run does not have keep their row and count as default. ``runs`` is a frame with run_id, or a caller's ids.
 
     The slots of all runs are worked out for the different pairs of courier and province; one
-    join multiplies the postal capacities by them, and a frequent pair can be split.
+    join multiplies the postal capacities by them, and a frequent pair can be split. Both are
+    spread before, because either may be broadcast and the other's tasks then unfold all rows.
     """
     base, peak = F.col("capacity"), F.col("peak_capacity")
     mixed = F.col("flag_class") == "mixed"
@@ -158,12 +160,12 @@ def assign_capacity(postal_capacity, run_capacity, geo, runs):
         .otherwise((base + peak) * 0)
     )
     covered = F.col("flag_class").isNotNull()
-    postal = with_province(postal_capacity, geo)
+    postal = spread_rows(with_province(postal_capacity, geo))
     slots = hot_join(
         pairs_of_runs(postal, runs), capacity_slots(run_capacity),
         ["run_id", "courier", "province"], "left",
     )
-    return hot_join(postal, slots, ["courier", "province"], nulls=True).select(
+    return hot_join(postal, spread_rows(slots), ["courier", "province"], nulls=True).select(
         "run_id",
         "courier",
         "postal_code",

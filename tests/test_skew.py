@@ -129,3 +129,31 @@ def test_one_province_with_most_codes(spark, monkeypatch, weights, sorted_codes)
             if base + (place < open_) > 0
         }
         assert {c: v for (p, m, c), v in got.items() if (p, m) == (province, n)} == expected
+
+
+def test_assignment_is_unfolded_by_all_tasks(spark):
+    """The join turns few bytes into many rows: whichever side Spark broadcasts, the rows come
+    from all tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        geo = spark.range(3000).selectExpr(
+            "lpad(cast(id as string), 5, '0') as postal_code", "'R' as region",
+            "concat('P', id % 50) as province", "concat('P', id % 50) as province_name",
+            "1 as pop", "cast(0.1 as decimal(11,9)) as share")
+        postal = geo.selectExpr(
+            "concat('K', cast(postal_code as int) % 7) as courier", "postal_code", "1 as capacity",
+            "2 as peak_capacity", "cast(null as timestamp_ntz) as from_ts",
+            "cast(null as timestamp_ntz) as to_ts", "cast(null as string) as products")
+        weeks = [dt.datetime(2026, 2, 2), dt.datetime(2026, 2, 9)]
+        run_capacity = spark.createDataFrame(
+            [(f"K{k}", w, None, 1, 0, 0, "R", f"P{p}", True, True, w, w == weeks[0], 1)
+             for k in range(7) for p in range(50) for w in weeks], schemas.RUN_CAPACITY)
+        out = capacity.assign_capacity(postal, run_capacity, geo, [1, 2])
+        tasks = out.groupBy(F.spark_partition_id()).count().collect()
+        lacking = capacity.uncovered_capacity(postal, run_capacity, geo, [1, 2])
+        others = lacking.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(t["count"] for t in tasks) == 9000 and len(tasks) > 4
+    assert sum(t["count"] for t in others) == 3000 and len(others) > 4
