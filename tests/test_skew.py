@@ -157,3 +157,22 @@ def test_assignment_is_unfolded_by_all_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sum(t["count"] for t in tasks) == 9000 and len(tasks) > 4
     assert sum(t["count"] for t in others) == 3000 and len(others) > 4
+
+
+def test_a_demand_meets_the_codes_it_reaches(spark, monkeypatch):
+    """Demands are joined by blocks of ranks, not with all codes of the province."""
+    geo = spark.range(50).selectExpr(
+        "lpad(cast(id as string), 5, '0') as postal_code", "'R' as region", "'P' as province",
+        "'P' as province_name", "1 + id % 7 as pop", "cast((1 + id % 7) * 1e-3 as decimal(11,9)) as share")
+    demand = spark.createDataFrame(
+        [("P", n) for n in (*range(-1, 15), 49, 50, 51, 1000)] + [("none", 5), (None, 5), ("P", None)],
+        "province string, pieces bigint")
+    one = pieces.allocation_table(demand, geo, "pop").collect()
+    monkeypatch.setattr(pieces, "RANK_BLOCK", 3)
+    table = pieces.allocation_table(demand, geo, "pop")
+    assert "_block" in table._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(table.collect()) == sorted(one)
+    sums = {}
+    for r in one:
+        sums[r.pieces] = sums.get(r.pieces, 0) + r.allocated
+    assert sums == {n: n for n in (*range(1, 15), 49, 50, 51, 1000)}
