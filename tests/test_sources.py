@@ -197,3 +197,24 @@ def test_reconcile_files_finds_lost_and_partial_ones(spark, tmp_path):
     (tmp_path / "e.csv").write_text("k;v\n1;1\n")
     more = read.schema("k int, v int").csv(str(tmp_path))
     assert status(more) == every | {"e.csv": "unexpected"}
+
+
+def test_export_moves_allocated_rows_not_pieces(spark, tmp_path):
+    """The weeks' pieces are written where they unfold, compressed, with all rows and batches."""
+    allocated = spark.createDataFrame(
+        [("k", "890", "S", "P", f"{i:05d}", 0, dt.date(2026, 2, 2) + dt.timedelta(7 * (i % 3)), 700)
+         for i in range(9)],
+        "key string, product string, sender string, province string, postal_code string, "
+        "attempt int, week date, allocated bigint")
+    base, plain = str(tmp_path / "z"), str(tmp_path / "p")
+    pieces.export_allocation(allocated, base, max_rows=500, compression="gzip")
+    pieces.export_allocation(allocated, plain, max_rows=500)
+    read = spark.read.option("sep", ";").option("header", True)
+    for folder, ending in ((base, ".csv.gz"), (plain, ".csv")):
+        found = glob.glob(f"{folder}/week_label=*/*.csv*")
+        assert found and all(f.endswith(ending) for f in found)
+        back = read.csv(folder)
+        assert (back.count(), back.select("requestId").distinct().count()) == (6300, 6300)
+        assert {r["count"] for r in back.groupBy("week_label").count().collect()} == {2100}
+    assert max(data_rows(f) for f in glob.glob(f"{plain}/week_label=*/*.csv")) <= 500
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
