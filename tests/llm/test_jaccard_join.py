@@ -116,6 +116,29 @@ def test_components_of_chains_and_hubs(spark):
     assert components.connected_components(df.filter("false")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """A round has about ten shuffles; each with a task per shuffle partition fills the disk."""
+    held = {"spark.sql.shuffle.partitions": "40",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        context.setJobGroup("few-edges", "")
+        got = dict(map(tuple, components.connected_components(edges).collect()))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {i: 0 for i in range(61)}
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-edges")]
+    stages = [tracker.getStageInfo(s) for s in {s for job in jobs for s in job.stageIds}]
+    assert sum(s.numCompletedTasks for s in stages if s) < 1000
+
+
 def test_words_of_a_pattern_are_told_apart(frame):
     """A hash by powers modulo 2**64 takes these words for equal."""
     for n in (1024, 4096):
