@@ -141,3 +141,64 @@ def test_of_month(spark):
     data = [estimate("S1", "AR", 5, 2026, 2), estimate("S1", "AR", 6, 2026, 3)]
     df = pieces.of_month(spark.createDataFrame(data, ESTIMATES), "2026-02")
     assert [r.monthly for r in df.collect()] == [5]
+
+
+def test_placed_rows_unfold_where_they_lie(spark):
+    """Only rows of very many pieces are moved, the others unfold in the task that has them."""
+    df = spark.range(40, numPartitions=5).select(
+        F.col("id").cast("string").alias("key"), F.lit("AR").alias("product"), F.lit("S").alias("sender"),
+        F.lit("P").alias("province"), F.lit("00001").alias("postal_code"), F.lit(0).alias("attempt"),
+        F.lit(dt.date(2026, 2, 2)).alias("week"),
+        F.when(F.col("id") == 7, 5000).when(F.col("id") == 8, 0).otherwise(3).cast("bigint").alias("allocated"))
+    out = pieces.explode_pieces(df, placed=True).withColumn("at", F.spark_partition_id())
+    found = {}
+    for r in out.select("request_id", "at").collect():
+        found.setdefault(r.request_id.split("~")[0], []).append((int(r.request_id.split("~")[-1]), r["at"]))
+    assert set(found) == {str(i) for i in range(40) if i != 8}
+    for key, ids in found.items():
+        assert sorted(n for n, _ in ids) == list(range(1, 5001 if key == "7" else 4))
+        if key != "7":
+            assert {at for _, at in ids} == {int(key) // 8}
+    assert len({at for _, at in found["7"]}) > 1
+
+
+def test_codes_that_come_twice_and_null_codes(spark):
+    """Of equal codes one may win and the other not, as among any others."""
+    codes = ["00003", "00003", None, "00001", "00001", "00002", "00002", None]
+    data = [(c, "R", "P1", "P1", 5, Decimal("0.125")) for c in codes]
+    geo = spark.createDataFrame(data, GEO)
+    for weight in ("share", "pop"):
+        out = pieces.allocate_largest_remainder(totals_frame(spark, [1, 3, 5, 8, 13]), geo, weight)
+        found = {}
+        for r in out.collect():
+            found.setdefault(r.pieces, []).append((r.postal_code or "", r.allocated))
+        for total, rows in found.items():
+            ranked = sorted(c or "" for c in codes)
+            wanted = [(c, total // 8 + (i < total % 8)) for i, c in enumerate(ranked)]
+            assert sorted(rows) == sorted(w for w in wanted if w[1])
+        assert set(found) == {1, 3, 5, 8, 13}
+
+
+@pytest.mark.parametrize("by", [None, "key"])
+def test_allocation_keeps_cuts_not_codes(spark, monkeypatch, by):
+    """What is kept on storage grows with the demands, not with the codes they reach."""
+    monkeypatch.setattr(pieces, "SORTED_CODES", 50)
+    kept, keep = [], pieces.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(pieces, "checkpointed", counted)
+    rng = random.Random(5)
+    weights = {f"{i:05d}": rng.randrange(1, 10**6) for i in range(700)}
+    geo = geo_rows(spark, {c: Decimal(w) / 10**9 for c, w in weights.items()}, pops=weights)
+    totals = [3, 40, 600, 699, 12345]
+    whole = sum(weights.values())
+    out = pieces.allocate_largest_remainder(totals_frame(spark, totals), geo, "pop", by)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.pieces, {})[r.postal_code] = r.allocated
+    assert found == {t: allocate_in_python(t, weights, whole) for t in totals}
+    assert max(kept) <= len(totals)
