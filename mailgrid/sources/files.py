@@ -151,6 +151,17 @@ def write_snapshot(df, base, extract_date, month):
     df.write.mode("overwrite").parquet(path)
 
 
+def write_snapshots(df, base, placed=False):
+    """Adds the extracts of all days and months the rows name in extract_date and month, in the
+    folders of ``write_snapshot``. Rows whose tasks have few folders each already are ``placed``:
+    they are neither moved nor sorted."""
+    by = ["extract_date", "month"]
+    if not placed:
+        df = df.hint("rebalance", *by)
+    with _open_files(df.sparkSession, OPEN_FILES if placed else 0):
+        df.write.partitionBy(*by).parquet(base)
+
+
 def read_latest_snapshot(
     spark, base, month, as_of, lookback_days=schemas.LOOKBACK_DAYS, required=True
 ):

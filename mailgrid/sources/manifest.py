@@ -4,6 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+# Exported files, compressed or not.
+CSV_FILES = "*.{csv,csv.gz}"
+
+
 def list_files(spark, base):
     """Path, length and week of every CSV file in a week folder; contents are not read.
 
@@ -12,7 +16,7 @@ def list_files(spark, base):
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", CSV_FILES)
         .load(base)
         .select("path", "length")
     )
@@ -73,7 +77,7 @@ def listed_rows(spark, base):
     header. Spark's readers do not list files without a byte."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", CSV_FILES)
         .text(base)
         .groupBy(plain_path(F.col("_metadata.file_path")).alias("file"))
         .agg((F.count(F.lit(1)) - 1).alias("_rows"))

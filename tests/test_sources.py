@@ -218,3 +218,46 @@ def test_export_moves_allocated_rows_not_pieces(spark, tmp_path):
         assert {r["count"] for r in back.groupBy("week_label").count().collect()} == {2100}
     assert max(data_rows(f) for f in glob.glob(f"{plain}/week_label=*/*.csv")) <= 500
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+
+
+def test_snapshots_of_placed_rows(spark, tmp_path):
+    """Placed rows go from their tasks into the folders of their day and month."""
+    df = spark.range(600, numPartitions=3).selectExpr(
+        "id", "concat('2026-01-', 10 + id % 2) as extract_date", "concat('2026-0', 1 + id % 3) as month")
+    for placed in (True, False):
+        base = str(tmp_path / str(placed))
+        files.write_snapshots(df, base, placed)
+        found = files.read_latest_snapshot(spark, base, "2026-02", "2026-01-20")
+        assert {r.id for r in found.collect()} == {i for i in range(600) if i % 3 == 1 and i % 2}
+        assert len(glob.glob(f"{base}/extract_date=*/month=*")) == 6
+    assert len(glob.glob(f"{tmp_path}/True/*/*/*.parquet")) == 18
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+
+
+def test_manifest_and_rows_of_compressed_weeks(spark, tmp_path):
+    """Compressed files are listed and counted like the others."""
+    base = str(tmp_path)
+    rows = spark.range(70, numPartitions=2).selectExpr(
+        "id as key", "date_add(date'2026-02-02', cast(id % 2 * 7 as int)) as week_label")
+    files.write_by_week(rows, base, compression="gzip", placed=True)
+    listed = manifest.listed_rows(spark, base).collect()
+    assert len(listed) == 4 and all(r.file.endswith(".csv.gz") for r in listed)
+    assert sorted((str(r.week), r.listed) for r in listed) == sorted(
+        [("2026-02-02", 18), ("2026-02-09", 17), ("2026-02-02", 17), ("2026-02-09", 18)])
+    counts = manifest.manifest_counts(manifest.week_manifest(spark, base))
+    assert {r.week_no: r.files for r in counts.collect()} == {1: 2, 2: 2, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
+def test_weeks_are_dealt_over_few_tasks(spark, tmp_path):
+    """With ``by`` a task has the weeks of its share only, and all rows come."""
+    geo = spark.range(30).selectExpr(
+        "lpad(cast(id as string), 5, '0') as postal_code", "'R' as region", "'P' as province",
+        "'P' as province_name", "1 + id % 7 as pop", "cast(0.1 as decimal(11,9)) as share")
+    weekly = spark.range(64).selectExpr(
+        "concat('k', id) as key", "'P' as province", "date_add(date'2026-02-02', cast(id * 7 as int)) as week",
+        "10 + id as pieces")
+    out = pieces.allocate_largest_remainder(weekly, geo, "pop", by="week")
+    found = out.groupBy("key").agg(F.sum("allocated").alias("n")).collect()
+    assert {r.key: r.n for r in found} == {f"k{i}": 10 + i for i in range(64)}
+    tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("week").alias("n")).collect()
+    assert len(tasks) > 4 and max(r.n for r in tasks) < 32
